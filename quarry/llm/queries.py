@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, exact_dedup, language, licenses, packing, sharding
+from quarry.llm import decontaminate, exact_dedup, language, licenses, near_join, packing, sharding
 from quarry.llm._shared import table
 
 #: Names of the shards of op7.
@@ -26,6 +26,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_join(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     placed = sharding.place(docs, SHARDS, F.xxhash64("doc_id", "text"))
