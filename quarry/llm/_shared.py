@@ -36,8 +36,8 @@ HOT_SHARE = 512
 HOT_LEAST = 200
 
 
-def look_up(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """Left join of ``left`` to ``right``, which has one row for each key with ``count`` rows of ``left``.
+def look_up(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, how: str = "left") -> DataFrame:
+    """Join (``left`` or ``inner``) of ``left`` to ``right``, which has one row for each key with ``count`` rows of ``left``.
 
     Keys with over 1/HOT_SHARE of the ``total`` rows are joined by broadcast: there can be
     HOT_SHARE of them at most, whatever the size of the tables. All other keys
@@ -46,9 +46,8 @@ def look_up(left: DataFrame, right: DataFrame, keys: list[str], count: str, tota
     limit = max(HOT_LEAST, total // HOT_SHARE)
     hot = F.broadcast(right.where(F.col(count) > limit))
     rest = right.where(F.col(count) <= limit)
-    # null keys match nothing: they stay in the first part, as left_anti keeps them for the second only
     first = left.join(hot, keys, "inner")
-    second = left.join(hot.select(*keys), keys, "left_anti").join(rest, keys, "left")
+    second = left.join(hot.select(*keys), keys, "left_anti").join(rest, keys, how)
     return first.unionByName(second)
 
 

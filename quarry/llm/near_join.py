@@ -214,7 +214,7 @@ def _numbered(docs: DataFrame, threshold: float) -> DataFrame:
     classes = written(classes.select("f1", "f2", "weight", F.col("best.doc_id").alias("copy_id"), F.col("best.row").alias("cid"), "bands"), "classes")
     keys = classes.select("cid", F.explode("bands").alias("key"))
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("least")).where("n > 1"), "shared")
-    stars = look_up(keys, shared, ["key"], "n", total).where("least < cid").select(F.col("cid").alias("u"), F.col("least").alias("v"))
+    stars = look_up(keys, shared, ["key"], "n", total, "inner").where("least < cid").select(F.col("cid").alias("u"), F.col("least").alias("v"))
     family = written(components(stars), "families")
     sizes = family.groupBy("root").agg(F.count("*").alias("size"))
     blocks = F.when(F.col("size") <= TASK_MEMBERS, 1).otherwise(F.greatest(F.ceil(F.col("size") / MOST_BLOCK), F.least(F.lit(8), F.floor(F.col("size") / LEAST_BLOCK)))).cast("int")

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, exact_dedup, language, licenses, near_join, packing, sharding
+from quarry.llm import decontaminate, exact_dedup, language, licenses, near_join, packing, sharding, substring_dedup
 from quarry.llm._shared import table
 
 #: Names of the shards of op7.
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts_too=False).drop("kept")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
