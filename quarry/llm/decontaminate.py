@@ -220,8 +220,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     return out.drop("row")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold an item; all columns, texts unchanged."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    joined = docs.join(bad, F.col("_bad").eqNullSafe(docs["doc_id"].cast("long")), "left_anti")
-    return joined
+def _clean(batches: Iterator[pa.RecordBatch], held, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = np.ones(batch.num_rows, bool)
+        plain = pa.record_batch([pa.array(np.arange(len(keep))), column(batch, "text")], names=["doc_id", "text"])
+        for found in _search(iter([plain]), held, threshold):
+            keep[found.column(1).to_numpy()] = False
+        yield batch.filter(pa.array(keep))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS, pass_items: int = PASS_ITEMS) -> DataFrame:
+    """``docs`` without the documents that hold an item; all columns, texts unchanged. A narrow stage for each pass."""
+    for block in _passes(benchmark, pass_items):
+        held = docs.sparkSession.sparkContext.broadcast(prepare(block, radius))
+        docs = docs.mapInArrow(functools.partial(_clean, held=held, threshold=threshold), docs.schema)
+    return docs

@@ -202,3 +202,22 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs))
+
+
+#: Texts with a lower score resemble no language that was learnt.
+LEAST_SCORE = 0.2
+
+
+def _accept(batches: Iterator[pa.RecordBatch], held, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = column(batch, "text")
+        none = pa.nulls(len(texts), pa.int64())
+        plain = pa.record_batch([none, pa.nulls(len(texts), pa.bool_()), texts], names=["doc_id", "held_out", "text"])
+        keep = [p != "und" and s >= least for out in _predict(iter([plain]), held) for p, s in zip(out.column(2).to_pylist(), out.column(3).to_pylist(), strict=True)]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def accepted(docs: DataFrame, filters: Filters, least: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` without those of language `und` or a score below ``least``; all columns, in one narrow stage."""
+    held = docs.sparkSession.sparkContext.broadcast(filters)
+    return docs.mapInArrow(functools.partial(_accept, held=held, least=least), docs.schema)
