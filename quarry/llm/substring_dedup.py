@@ -6,8 +6,9 @@ earlier (in a smaller doc_id, or before it in the same document) are removed, al
 Recompression: rounds replace runs of one symbol and pairs of a left and a right symbol (the side is a bit of the
 symbol's hash in that round) by symbols named after their contents. Names are 64-bit hashes, so all documents get the same names without a table of
 names, and a round needs no shuffle. Which words decide that a symbol stands where it does is tracked; equal
-windows therefore hold the same interior symbols at the same places, whatever surrounds them. A window's anchor is, of its interior symbols, one of the highest
-level (the smallest name decides); neighbouring windows mostly share it, so one row stands for about ten words.
+windows therefore hold the same interior symbols at the same places, whatever surrounds them. A window's anchor is, of its interior symbols of the highest
+level that has any, the one of the smallest name; it is known by that name together with the words that decide it. Neighbouring windows mostly share it, so
+one row stands for several words. Levels are few, as the words that decide a symbol grow with its level and must fit into a window with room to spare.
 
 Spark then keeps anchors that occur twice. Of these, stretches (the words of all windows with one anchor) that equal each other as
 a whole are settled at once, by an independent hash of their words: all but the first go. Only where one anchor stands in
@@ -34,11 +35,9 @@ from quarry.llm._arrays import WORD_BASE, blocks, column, inverse, mix, powers,
 from quarry.llm._shared import look_up, written
 
 WINDOW = 20
-#: Rounds of pair naming, and those that name runs first: more of these would widen the words that decide a symbol.
-ROUNDS = 6
-RUN_ROUNDS = (0, 3)
-#: Symbols of lower levels are too short to tell passages apart.
-LEAST_LEVEL = 2
+#: Rounds of pair naming, and those that name runs first: more of either would widen the words that decide a symbol.
+ROUNDS = 3
+RUN_ROUNDS = (0,)
 #: A position in a document: so many low bits are the word, those above are of the text's hash.
 WORD_BITS = 36
 
@@ -96,8 +95,8 @@ def anchors(h: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     at = np.repeat(off[:-1] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     name, spot, own = np.zeros(len(at), np.uint64), at.copy(), np.full(len(at), -1, np.int64)
     todo = np.arange(len(at))
-    levels = recompress(h, off)
-    for level in range(len(levels) - 1, LEAST_LEVEL - 2, -1):
+    levels, prefix = recompress(h, off), _prefix(h, 0)
+    for level in range(len(levels) - 1, -1, -1):
         if not len(todo):
             break
         sym, start, low, high = levels[level]
@@ -119,7 +118,7 @@ def anchors(h: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.n
                 rank = np.minimum(rank, np.append(rank[1 << k :], np.full(min(1 << k, len(rank)), np.uint64(2**64 - 1)))[: len(rank)])
                 k += 1
             x = (best & np.uint64((1 << 26) - 1)).astype(np.int64)
-            name[chosen] = mix(sym[x] + np.uint64(level))
+            name[chosen] = mix(sym[x] + _hash_of(prefix, low[x], high[x], 0))
             spot[chosen] = start[x]
             own[chosen] = x * (ROUNDS + 1) + level
         todo = todo[~some]
