@@ -220,7 +220,8 @@ def _numbered(docs: DataFrame, threshold: float) -> DataFrame:
     blocks = F.when(F.col("size") <= TASK_MEMBERS, 1).otherwise(F.greatest(F.ceil(F.col("size") / MOST_BLOCK), F.least(F.lit(8), F.floor(F.col("size") / LEAST_BLOCK)))).cast("int")
     member = look_up(family, sizes.withColumn("blocks", blocks), ["root"], "size", total).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     member = written(member.join(classes.drop("bands"), F.col("node") == F.col("cid")).select("cid", "f1", "f2", "copy_id", "weight", "root", "blocks", "block"), "members")
-    texts = rows.join(member.select("cid", "f1", "f2", "copy_id"), rows["doc_id"].eqNullSafe(F.col("copy_id")))
+    # always a merge join: broadcasting the members would hold for small inputs only
+    texts = rows.join(member.select("cid", "f1", "f2", "copy_id").hint("merge"), rows["doc_id"].eqNullSafe(F.col("copy_id")))
     texts = texts.select("cid", "f1", "f2", "text").mapInArrow(_members, "cid long, sig binary, items binary").dropDuplicates(["cid"])
     tasks = max(1, member.count() // TASK_MEMBERS)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -246,7 +247,7 @@ def drop_near(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document of each class: that of the smallest doc_id; all columns, texts unchanged."""
     numbered = written(_numbered(docs, threshold), "numbered")
     # of rows with one doc_id and one class, one stays; blank texts all do
-    gone = numbered.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = numbered.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct().hint("merge")
     left = docs.join(gone, F.col("_gone").eqNullSafe(docs["doc_id"].cast("long")), "left_anti")
     twice = numbered.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_twice"), "_n")
     marked = left.join(twice, F.col("_twice").eqNullSafe(left["doc_id"].cast("long")), "left")
