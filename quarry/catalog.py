@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of quarry.plans with a dict QUERIES {name: (function, SQL or None)}.
-MODULES: list[str] = []
-FLAGSHIP = ""
+MODULES: list[str] = ["metrics"]
+FLAGSHIP = "regression_report"
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
