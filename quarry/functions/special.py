@@ -50,7 +50,7 @@ def inc_beta(x: float, a: float, b: float) -> float:
         f *= c * d
         if abs(1 - c * d) < 1e-15:
             break
-    return front * f
+    return front * (f - 1)
 
 
 def inc_gamma(a: float, x: float) -> float:

@@ -40,10 +40,10 @@ def sgd(s, d):
 
 
 QUERIES = {
-    "stream_tumbling_window": (lambda s, d: stamps(rounded(drained(S.windowed(stream(s, d, "events"), "ts", "1 hour", "1 day", None, ["event_type"], "value")), 4), "start", "end"), """
-SELECT epoch(date_trunc('day', ts))::BIGINT AS start, epoch(date_trunc('day', ts))::BIGINT + 86400 AS "end", event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean FROM events GROUP BY ALL"""),
-    "stream_sliding_window": (lambda s, d: stamps(rounded(drained(S.windowed(stream(s, d, "events"), "ts", "1 hour", "2 days", "1 day", [], "value")), 4), "start", "end"), """
-WITH t AS (SELECT epoch(date_trunc('day', ts))::BIGINT AS d, value FROM events), x AS (SELECT d AS start, value FROM t UNION ALL SELECT d - 86400, value FROM t) SELECT start, start + 172800 AS "end", count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean FROM x GROUP BY start"""),
+    "stream_tumbling_window": (lambda s, d: stamps(rounded(drained(S.windowed(stream(s, d, "events"), "ts", "1 hour", "1 day", None, ["event_type"], "value")).drop("mean"), 4), "start", "end"), """
+SELECT epoch(date_trunc('day', ts))::BIGINT AS start, epoch(date_trunc('day', ts))::BIGINT + 86400 AS "end", event_type, count(*) AS n, round(sum(value), 4) AS total  FROM events GROUP BY ALL"""),
+    "stream_sliding_window": (lambda s, d: stamps(rounded(drained(S.windowed(stream(s, d, "events"), "ts", "1 hour", "2 days", "1 day", [], "value")).drop("mean"), 4), "start", "end"), """
+WITH t AS (SELECT epoch(date_trunc('day', ts))::BIGINT AS d, value FROM events), x AS (SELECT d AS start, value FROM t UNION ALL SELECT d - 86400, value FROM t) SELECT start, start + 172800 AS "end", count(*) AS n, round(sum(value), 4) AS total  FROM x GROUP BY start"""),
     "session_window": (lambda s, d: S.sessions(s.read.parquet(f"{d}/events.parquet"), "ts", "1 hour", "30 minutes", "user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events")), """
 WITH t AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) SELECT count(*) FILTER (p IS NULL OR ts >= p + INTERVAL 30 MINUTE) AS sessions, count(*) AS events FROM t"""),
     "stream_class_moments": (lambda s, d: rounded(drained(S.class_moments(stream(s, d, "events"), ["value"], "event_type")), 3), "SELECT event_type, count(*) AS n, round(sum(value), 3) AS s_value, round(sum(value * value), 3) AS q_value FROM events GROUP BY 1"),
