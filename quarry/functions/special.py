@@ -224,6 +224,73 @@ def newton_cg(f, grad, x0: np.ndarray, hess_vec=None, max_iter: int = 200, tol:
     return x
 
 
+def trust_region(f, grad, x0: np.ndarray, hess_vec=None, radius: float = 1.0, largest: float = 100.0, max_iter: int = 200, tol: float = 1e-8) -> np.ndarray:
+    """Conjugate gradients within a region that grows where the quadratic model foretells well and shrinks where it doesn't; steps end at its edge on negative curvature."""
+    x = np.array(x0, float)
+    hv = hess_vec or (lambda x, v: (grad(x + 1e-6 * v) - grad(x - 1e-6 * v)) / 2e-6)
+
+    def edge(p, d):
+        a, b, c = d @ d, 2 * p @ d, p @ p - radius**2
+        return p + (-b + math.sqrt(max(b * b - 4 * a * c, 0))) / (2 * a) * d
+
+    for _ in range(max_iter):
+        g = grad(x)
+        size = np.linalg.norm(g)
+        if size < tol:
+            break
+        p, r = np.zeros_like(x), g.copy()
+        d = -r
+        for _ in range(2 * len(x) + 10):
+            h = hv(x, d)
+            curve = d @ h
+            a = r @ r / curve if curve > 0 else 0.0
+            if curve <= 0 or np.linalg.norm(p + a * d) >= radius:
+                p = edge(p, d)
+                break
+            p, new = p + a * d, r + a * h
+            if np.linalg.norm(new) < min(0.5, math.sqrt(size)) * size:
+                break
+            d, r = -new + (new @ new) / (r @ r) * d, new
+        hope = -(g @ p + p @ hv(x, p) / 2)
+        rho = (f(x) - f(x + p)) / hope if hope > 0 else 0.0
+        if rho < 0.25:
+            radius /= 4
+        elif rho > 0.75 and np.linalg.norm(p) > 0.99 * radius:
+            radius = min(2 * radius, largest)
+        if rho > 1e-4:
+            x = x + p
+        elif radius < 1e-14:
+            break
+    return x
+
+
+def lanczos(product: Callable[[np.ndarray], np.ndarray], n: int, k: int, which: str = "largest", steps: int | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(values, vectors) of the ``k`` largest or smallest eigenvalues of a symmetric operator given by its ``product`` with a vector (which may be a pass over a distributed
+    matrix), by Lanczos steps with full reorthogonalisation."""
+    steps = min(n, steps or max(2 * k + 20, 40))
+    q = np.zeros((n, steps))
+    rng, alpha, beta = np.random.default_rng(seed), [], []
+    v = rng.normal(size=n)
+    v /= np.linalg.norm(v)
+    for j in range(steps):
+        q[:, j] = v
+        w = np.asarray(product(v), float)
+        alpha.append(v @ w)
+        for _ in range(2):
+            w = w - q[:, : j + 1] @ (q[:, : j + 1].T @ w)
+        b = np.linalg.norm(w)
+        if b < 1e-10 and j + 1 < steps:  # an invariant space: goes on with a new direction
+            w, b = rng.normal(size=n), 0.0
+            for _ in range(2):
+                w = w - q[:, : j + 1] @ (q[:, : j + 1].T @ w)
+        beta.append(b)
+        v = w / max(np.linalg.norm(w), 1e-300)
+    t = np.diag(alpha) + np.diag(beta[:-1], 1) + np.diag(beta[:-1], -1)
+    values, y = np.linalg.eigh(t)
+    pick = np.argsort(-values if which == "largest" else values)[:k]
+    return values[pick], q @ y[:, pick]
+
+
 class CubicSpline:
     """Interpolating cubic through increasing knots, with natural or not-a-knot ends."""
 

@@ -1,4 +1,4 @@
-"""Kernel feature maps, kernel and local regression, imputation by models, matrix factorisation, robust covariance, a neural network, and meta-estimators.
+"""Kernel feature maps, kernel and local regression, imputation by models, matrix factorisation, robust covariance, and meta-estimators.
 
 Kernel methods work on features: random Fourier features or landmarks (a documented number of rows) turn a kernel model into a linear one whose
 Gram matrix is one pass over the data.
@@ -226,53 +226,6 @@ def elliptic_envelope(df: DataFrame, features: list[str], contamination: float =
     return F.when(d > cut, -1).otherwise(1)
 
 
-# --- a neural network ---------------------------------------------------------
-
-
-@dataclass
-class MLP:
-    """One hidden layer of tanh units; identity output."""
-
-    features: list[str]
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: float
-
-    def predict(self) -> Column:
-        h = [F.tanh(_sum([F.col(c) * float(v) for c, v in zip(self.features, col, strict=True)]) + float(b)) for col, b in zip(self.w1.T, self.b1, strict=True)]
-        return _sum([x * float(v) for x, v in zip(h, self.w2, strict=True)]) + float(self.b2)
-
-
-def mlp_regressor(df: DataFrame, features: list[str], y: str, hidden: int = 16, rounds: int = 60, rate: float = 0.05, seed: int = 0) -> MLP:
-    """Full-batch Adam: every step sums gradients where the rows are. Scale the features before."""
-    rng, d = np.random.default_rng(seed), len(features)
-    w = np.concatenate([rng.normal(0, np.sqrt(2 / (d + hidden)), d * hidden), np.zeros(hidden), rng.normal(0, np.sqrt(2 / (hidden + 1)), hidden), [df.agg(F.avg(y)).first()[0]]])
-    cut = np.cumsum([d * hidden, hidden, hidden])
-    x = df.select(*[F.col(c).cast("double") for c in [*features, y]])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, rounds + 1):
-
-        def go(batches: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
-            a, b1, w2, b2 = np.split(w, cut)
-            a, total, n = a.reshape(d, hidden), np.zeros(len(w)), 0
-            for r in batches:
-                z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in r.columns])
-                h = np.tanh(z[:, :-1] @ a + b1)
-                e = h @ w2 + b2 - z[:, -1]
-                back = e[:, None] * w2 * (1 - h * h)
-                total += np.concatenate([(z[:, :-1].T @ back).ravel(), back.sum(0), h.T @ e, [e.sum()]])
-                n += len(z)
-            yield pa.record_batch([pa.array(range(len(w) + 1)), pa.array(np.append(total, n))], names=["i", "v"])
-
-        r = dict(x.mapInArrow(go, "i long, v double").groupBy("i").agg(F.sum("v")).collect())  # one row for each weight
-        g = np.array([r[i] for i in range(len(w))]) / max(r[len(w)], 1)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    a, b1, w2, b2 = np.split(w, cut)
-    return MLP(features, a.reshape(d, hidden), b1, w2, float(b2[0]))
-
-
 # --- meta-estimators ----------------------------------------------------------
 
 

@@ -208,3 +208,61 @@ def silverman(df: DataFrame, x: str) -> float:
 def scott(df: DataFrame, x: str, d: int = 1) -> float:
     n, sd = df.agg(F.count(x), F.stddev_samp(x)).first()
     return sd * n ** (-1 / (d + 4)) if sd else 1.0
+
+
+def hat_matrix(df: DataFrame, key: str, u: str, y: str, bandwidth: float, kernel_name: str = "gaussian", most: int = 20_000) -> DataFrame:
+    """(key, y, prediction, hat, left_out) of every row smoothed by all: ``hat`` is the weight of its own target, and ``left_out`` the prediction without it,
+    (prediction - hat y) / (1 - hat). All pairs are compared, so there may be at most ``most`` rows."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"at most {most} rows")
+    f = SMOOTHERS[kernel_name]
+    q = df.select(F.col(key).alias("_i"), F.col(u).alias("_x"), F.col(y).alias("_y"))
+    k = f((F.col("_x") - F.col(u)) / bandwidth)
+    s = df.crossJoin(F.broadcast(q)).groupBy("_i", "_y").agg(F.sum(k).alias("_s"), F.sum(k * F.col(y)).alias("_p"))
+    hat = f(F.lit(0.0)) / F.col("_s")
+    p = F.col("_p") / F.col("_s")
+    return s.select(F.col("_i").alias(key), F.col("_y").alias(y), p.alias("prediction"), hat.alias("hat"), F.when(hat < 1, (p - hat * F.col("_y")) / (1 - hat)).alias("left_out"))
+
+
+def effective_df(hat: DataFrame) -> float:
+    """The trace of the smoother."""
+    return hat.agg(F.sum("hat")).first()[0]
+
+
+def cross_validated_bandwidth(df: DataFrame, key: str, u: str, y: str, grid: list[float], kernel_name: str = "gaussian", most: int = 20_000) -> tuple[float, list[float]]:
+    """The bandwidth of the smallest mean squared error of left-out predictions (the smallest of equals), and the errors of all; rows that no other row reaches don't count,
+    and a bandwidth by which none is reached has an infinite error."""
+    errors = []
+    for h in grid:
+        e = hat_matrix(df, key, u, y, h, kernel_name, most).agg(F.avg((F.col(y) - F.col("left_out")) ** 2)).first()[0]
+        errors.append(float("inf") if e is None else e)
+    return grid[int(np.argmin(errors))], errors
+
+
+def neighbors_graph(pairs: DataFrame, mode: str = "connectivity") -> DataFrame:
+    """A triplet matrix (row, col, val) of pairs (i, j, distance), as knn and radius_join give them: ones or distances."""
+    if mode not in ("connectivity", "distance"):
+        raise ValueError("mode must be connectivity or distance")
+    return pairs.select(F.col("i").alias("row"), F.col("j").alias("col"), (F.lit(1.0) if mode == "connectivity" else F.col("distance")).alias("val"))
+
+
+def local_polynomial(queries: DataFrame, train: DataFrame, bandwidth: float, order: int = 1, kernel_name: str = "gaussian", reg: float = 1e-10, most: int = 20_000) -> DataFrame:
+    """(i, prediction): the weighted polynomial of ``order`` through ``train`` (u, y) around each of ``queries`` (i, x); one pass for the moments, small solves where the
+    queries are. Null where no row is reached."""
+    if queries.limit(most + 1).count() > most:
+        raise ValueError(f"at most {most} points to predict at once")
+    d = (F.col("u") - F.col("x")) / bandwidth
+    w = SMOOTHERS[kernel_name](d)
+    sums = [F.sum(w * F.pow(d, F.lit(k))).alias(f"m{k}") for k in range(2 * order + 1)] + [F.sum(w * F.col("y") * F.pow(d, F.lit(k))).alias(f"t{k}") for k in range(order + 1)]
+    s = train.crossJoin(F.broadcast(queries)).groupBy("i").agg(*sums)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[1:]])
+            out = []
+            for r in v:
+                a = np.array([[r[i + j] for j in range(order + 1)] for i in range(order + 1)]) + reg * np.eye(order + 1)
+                out.append(float(np.linalg.solve(a, r[2 * order + 1 :])[0]) if r[0] > 0 else None)
+            yield pa.record_batch([b.column(0), pa.array(out, pa.float64())], names=["i", "prediction"])
+
+    return s.mapInArrow(solve, f"i {queries.schema['i'].dataType.simpleString()}, prediction double")

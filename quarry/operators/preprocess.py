@@ -392,6 +392,21 @@ def rfe(importances: list[tuple[str, float]], k: int) -> dict[str, int]:
     return {c: rank.get(c, 1) for c, _ in importances}
 
 
+def rfe_cv(columns: list[str], importances: Callable[[list[str]], list[float]], score: Callable[[list[str]], float], least: int = 1, step: int = 1) -> tuple[list[str], dict[int, float]]:
+    """(best set, score of each size): the least important features of the set at hand go, ``step`` at a time, and ``score`` (a mean over folds) judges every set; the
+    smallest of equals is best."""
+    left, scores, sets = list(columns), {}, {}
+    while True:
+        scores[len(left)], sets[len(left)] = score(left), list(left)
+        if len(left) <= least:
+            break
+        v = importances(left)
+        drop = sorted(range(len(left)), key=lambda i: (v[i], i))[: min(step, len(left) - least)]
+        left = [c for i, c in enumerate(left) if i not in drop]
+    best = max(scores, key=lambda n: (scores[n], -n))
+    return sets[best], scores
+
+
 def sequential_selection(columns: list[str], k: int, score: Callable[[list[str]], float], forward: bool = True) -> list[str]:
     """Greedy: adds (or drops) the feature whose set scores best."""
     chosen = [] if forward else list(columns)

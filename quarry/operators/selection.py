@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,15 +21,15 @@ from quarry.functions.stats import present
 def numbered(df: DataFrame, order: str | Column, name: str = "_n", by: str | None = None, buckets: int = 64) -> DataFrame:
     """``df`` with places 0, 1, ... in ``order`` (a unique numeric key). Rows are counted in ranges of the key first, so no task gets them all."""
     key = F.col(order) if isinstance(order, str) else order
-    x = df.withColumn("_key", key)
-    if by is not None:
-        w = Window.partitionBy(by).orderBy("_key")
-        return x.withColumn(name, (F.row_number().over(w) - 1).cast("long")).drop("_key")
+    x, inside = df.withColumn("_key", key), ["_b"] if by is None else ["_b", by]
     marks = x.select(F.percentile_approx("_key", [k / buckets for k in range(1, buckets)], 10_000).alias("_m"))
     x = x.crossJoin(F.broadcast(marks)).withColumn("_b", F.size(F.filter("_m", lambda v: v < F.col("_key")))).drop("_m")
-    before = x.groupBy("_b").agg(F.count("*").alias("_c"))
-    before = before.select("_b", (F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_o"))
-    x = x.join(F.broadcast(before), "_b").withColumn(name, (F.row_number().over(Window.partitionBy("_b").orderBy("_key")) - 1 + F.col("_o")).cast("long"))
+    before = x.groupBy(*inside).agg(F.count("*").alias("_c"))
+    ahead = Window.partitionBy(*inside[1:]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select(*[F.col(c).alias(f"_p{j}") for j, c in enumerate(inside)], F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_o"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_p{j}")) for j, c in enumerate(inside)])
+    x = x.join(F.broadcast(before) if by is None else before, same)
+    x = x.withColumn(name, (F.row_number().over(Window.partitionBy(*inside).orderBy("_key")) - 1 + F.col("_o")).cast("long"))
     return x.select(*df.columns, name)
 
 
@@ -57,6 +58,14 @@ def repeated_k_fold(df: DataFrame, key: str, k: int = 5, repeats: int = 10, seed
     return out
 
 
+def repeated_stratified_k_fold(df: DataFrame, key: str, y: str, k: int = 5, repeats: int = 10, seed: int = 0) -> DataFrame:
+    """Columns fold_0, fold_1, ..."""
+    out = df
+    for r in range(repeats):
+        out = stratified_k_fold(out, key, y, k, seed + r).withColumnRenamed("fold", f"fold_{r}")
+    return out
+
+
 def stratified_k_fold(df: DataFrame, key: str, y: str, k: int = 5, seed: int | None = None) -> DataFrame:
     """Folds of each class; where a class leaves a remainder, the extra rows go to folds after those of the class before."""
     counts = sorted((r[0], r[1]) for r in df.groupBy(y).count().collect())  # a row for each class
@@ -120,7 +129,8 @@ def shuffle_split(df: DataFrame, key: str, n_splits: int = 10, test_size: float
         if y is None:
             size = F.lit(int(n * test_size + 0.5))
         else:
-            x = x.withColumn("_c", F.count("*").over(Window.partitionBy(y)))
+            sizes = out.groupBy(F.col(y).alias("_y")).agg(F.count("*").alias("_c"))
+            x = x.join(sizes, F.col(y).eqNullSafe(F.col("_y")))
             size = F.greatest(F.lit(1), F.least(F.col("_c") - 1, F.floor(F.col("_c") * test_size + 0.5)))
         out = x.withColumn(f"test_{s}", F.col("_n") < size).select(*out.columns, f"test_{s}")
     return out

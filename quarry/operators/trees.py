@@ -294,6 +294,31 @@ def adaboost_classifier(df, features, y, n_trees=10, rate=1.0, **options) -> Tre
     return out
 
 
+def adaboost_regressor(df, features, y, n_trees=10, rate=1.0, max_depth=3, loss="linear", **options) -> Column:
+    """Weights grow where errors, as shares of the largest, are large (linear, square or exponential loss); predicts the median of the trees by their weights."""
+    cuts, trees, weights, w = thresholds(df, features), [], [], F.lit(1.0)
+    for _ in range(n_trees):
+        t = grow(df, features, [F.col(y).cast("double")], [w], "mse", max_depth=max_depth, cuts=cuts, **options)[0]
+        e = F.abs(F.col(y) - t.value())
+        top = df.agg(F.max(e)).first()[0]
+        if not top:
+            trees, weights = [*trees, t], [*weights, 1.0]
+            break
+        e = {"linear": e / top, "square": (e / top) ** 2, "exponential": 1 - F.exp(-e / top)}[loss]
+        mean = df.agg(F.sum(w * e) / F.sum(w)).first()[0]
+        if mean >= 0.5 and trees:
+            break
+        beta = max(mean, 1e-10) / max(1 - mean, 1e-10)
+        trees, weights = [*trees, t], [*weights, rate * math.log(1 / beta) if beta < 1 else 1e-10]
+        if beta >= 1:
+            break
+        w = w * F.pow(F.lit(beta), (1 - e) * rate)
+    half = sum(weights) / 2
+    pairs = F.array_sort(F.array(*[F.struct(t.value().alias("v"), F.lit(float(a)).alias("w")) for t, a in zip(trees, weights, strict=True)]))
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("at"))
+    return F.aggregate(pairs, zero, lambda a, x: F.struct((a["sum"] + x["w"]).alias("sum"), F.coalesce(a["at"], F.when(a["sum"] + x["w"] >= half * (1 - 1e-12), x["v"])).alias("at")))["at"]
+
+
 def isolation_forest(df: DataFrame, features: list[str], n_trees: int = 100, max_samples: int = 256, seed: int = 0) -> Column:
     """The anomaly score 2^(-mean depth / c) as an expression. Each tree isolates ``max_samples`` rows, which the method itself fixes; scoring covers all rows."""
     rng = np.random.default_rng(seed)

@@ -65,7 +65,6 @@ SELECT t.s_suppkey, round(coalesce(t.a, fa.f), 6) AS a, round(coalesce(t.b, fb.f
     "nmf": (lambda s, d: rounded(s.createDataFrame([tuple(map(float, r)) for r in K.nmf(_t(s, d, "lineitem").select("l_quantity", "l_linenumber"), ["l_quantity", "l_linenumber"], 1, 10)], "a double, b double").select((F.col("b") / F.col("a")).alias("ratio")), 3), None),
     "fast_ica": (lambda s, d: rounded(s.createDataFrame([(float(abs(v)),) for v in K.fast_ica(part(s, d), ["a", "b"], 2, 10)[1]], "mean double"), 4), "SELECT round(abs(avg((p_size - 25) / 15)), 4) AS mean FROM part UNION ALL SELECT round(abs(avg((p_retailprice - 950) / 30)), 4) FROM part"),
     "elliptic_envelope": (lambda s, d: (x := part(s, d)).withColumn("p", K.elliptic_envelope(x, ["a", "b"])).groupBy("p").agg(F.count("*").alias("n")), None),
-    "mlp_regressor": (lambda s, d: mse(x := curve(s, d), K.mlp_regressor(x, ["a"], "y", 8, 15).predict()), None),
     "one_vs_one": (lambda s, d: (x := rows(s, d)).withColumn("p", K.one_vs_one(x, "c", lambda y, t: L.ols(L.gram(y, XS, [t])).predict() - 0.5)).groupBy("c", "p").agg(F.count("*").alias("n")), None),
     "one_vs_rest": (lambda s, d: (x := rows(s, d)).withColumn("p", L.one_vs_rest(x, "c", lambda y, t: L.ols(L.gram(y, XS, [t]))).predict()).groupBy("c", "p").agg(F.count("*").alias("n")), None),
     "transformed_target": (lambda s, d: mse(x := rows(s, d), K.transformed_target(x, "y", lambda y, t: L.ols(L.gram(y, XS, [t])).predict(), lambda v: v * 2, lambda v: v / 2)), f"{OLS} SELECT round(avg(e * e), 3) AS mse FROM e"),

@@ -15,7 +15,10 @@ from quarry.operators import dual as D
 from quarry.operators import linear as L
 from quarry.operators import manifold as M
 from quarry.operators import neural as N
+from quarry.operators import neighbors as NB
 from quarry.operators import preprocess as P
+from quarry.operators import selection as S
+from quarry.operators import trees as T
 from quarry.plans.kernel import OLS, curve, mse, part
 from quarry.plans.linear import XS
 from quarry.plans.linear import data as rows
@@ -125,8 +128,8 @@ QUERIES = {
     "optics": (lambda s, d: sizes(M.optics(profiles(s, d), AB, "i", 3)), None),
     "birch": (summary, "SELECT s_nationkey::DOUBLE AS center, count(*) AS n FROM supplier GROUP BY 1"),
     "bayesian_mixture": (lambda s, d: sizes(N.bayesian_mixture(part(s, d), AB, [[-1.0, 0.0], [1.0, 0.0], [0.0, 5.0]], rounds=10).transform(part(s, d))), None),
-    "mlp_classifier_deep": (lambda s, d: agree(N.mlp_classifier(labelled(s, d), AB, "y", (16, 8), rate=0.02, rounds=10).transform(labelled(s, d))), None),
-    "mlp_regressor_deep": (lambda s, d: near(N.mlp_regressor(curve(s, d), AB, "y", (16,), rate=0.02, rounds=10).transform(curve(s, d)), 1), None),
+    "mlp_classifier": (lambda s, d: agree(N.mlp_classifier(labelled(s, d), AB, "y", (16, 8), rate=0.02, rounds=10).transform(labelled(s, d))), None),
+    "mlp_regressor": (lambda s, d: near(N.mlp_regressor(curve(s, d), AB, "y", (16,), rate=0.02, rounds=10).transform(curve(s, d)), 1), None),
     "bernoulli_rbm": (lambda s, d: (x := _t(s, d, "part").select((F.col("p_size") > 25).cast("double").alias("a"), (F.col("p_size") > 10).cast("double").alias("b"))) and N.bernoulli_rbm(x, AB, 2, rounds=3).transform(x).agg(F.sum(F.col("h0").between(0, 1).cast("long")).alias("n")), "SELECT count(*) AS n FROM part"),
     "dictionary_learning": (atoms, "SELECT range AS atom, 1.0::DOUBLE AS length FROM range(2)"),
     "sparse_pca": (lambda s, d: rounded(s.createDataFrame([(j, float((v * v).sum())) for j, v in enumerate(N.sparse_pca(part(s, d), AB, 2, 0.1).components)], "component long, length double"), 4), "SELECT range AS component, 1.0::DOUBLE AS length FROM range(2)"),
@@ -144,6 +147,16 @@ SELECT n, round(mean, 4) AS mean, round(sqrt(v), 4) AS std, round(s / v ** 1.5,
     "goodness_of_fit": (lambda s, d: rounded(C.goodness_of_fit(reg(s, d), "y", "p", 2.0).select("n", "r2", "adjusted_r2", "mse", "rmse", "mae"), 4), f"""WITH {REG}, g AS (SELECT count(*) AS n, avg((y - p) ** 2) AS mse, avg(abs(y - p)) AS mae, var_pop(y) AS v FROM t)
 SELECT n, round(1 - mse / v, 4) AS r2, round(1 - mse / v * (n - 1) / (n - 3), 4) AS adjusted_r2, round(mse, 4) AS mse, round(sqrt(mse), 4) AS rmse, round(mae, 4) AS mae FROM g"""),
     "goldfeld_quandt": (steep, None),
+    "adaboost_regressor": (lambda s, d: (x := part(s, d).withColumn("y", F.col("a") * 2)) and rounded(x.withColumn("prediction", T.adaboost_regressor(x, ["a"], "y", 2)).agg((F.avg((F.col("prediction") - F.col("y")) ** 2) < 0.2).cast("int").alias("close")), 2), "SELECT 1 AS close"),
+    "logistic_regression_cv": (lambda s, d: rounded(L.logistic_cv(x := rows(s, d), XS, "s", "f", (0.1, 10.0))[0].table(x), 3), None),
+    "repeated_stratified_k_fold": (lambda s, d: S.repeated_stratified_k_fold(_t(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment", 5, 1).groupBy("c_mktsegment").agg((F.max("fold_0") - F.min("fold_0") + 1).cast("long").alias("folds"), F.count("*").alias("n")), "SELECT c_mktsegment, 5::BIGINT AS folds, count(*) AS n FROM customer GROUP BY 1"),
+    "hat_matrix": (lambda s, d: rounded(NB.hat_matrix(spread(s, d), "id", "u", "y", 3.0).select("id", "prediction", "hat", "left_out"), 4), """
+WITH t AS (SELECT l_quantity::BIGINT AS id, l_quantity AS u, avg(l_extendedprice) / 1000 AS y FROM lineitem GROUP BY 1, 2), k AS (SELECT a.id, a.y AS own, b.y, exp(-(((a.u - b.u) / 3) ** 2) / 2) AS w FROM t a, t b), s AS (SELECT id, any_value(own) AS own, sum(w) AS s, sum(w * y) AS p FROM k GROUP BY 1)
+SELECT id, round(p / s, 4) AS prediction, round(1 / s, 4) AS hat, round((p - own) / (s - 1), 4) AS left_out FROM s"""),
+    "local_polynomial_regression": (lambda s, d: rounded(NB.local_polynomial(at(s, d), spread(s, d), 3.0, 0), 4), """
+WITH t AS (SELECT l_quantity AS u, avg(l_extendedprice) / 1000 AS y FROM lineitem GROUP BY 1), k AS (SELECT n_nationkey AS i, y, exp(-(((n_nationkey * 2.0::DOUBLE - u) / 3) ** 2) / 2) AS w FROM nation, t) SELECT i, round(sum(w * y) / sum(w), 4) AS prediction FROM k GROUP BY 1"""),
+    "neighbors_graph": (lambda s, d: NB.neighbors_graph(_t(s, d, "nation").select(F.col("n_nationkey").alias("i"), F.col("n_regionkey").alias("j"), F.lit(1.0).alias("distance"))), "SELECT n_nationkey AS row, n_regionkey AS col, 1.0::DOUBLE AS val FROM nation"),
+    "sparse_diagonals": (lambda s, d: io.spmm(io.diags(s, 25, {0: 2.0, 1: -1.0}), _t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("row"), F.lit(0).cast("long").alias("col"), F.col("n_regionkey").cast("double").alias("val"))), "SELECT n_nationkey::BIGINT AS row, 0::BIGINT AS col, (2.0 * n_regionkey - coalesce(lead(n_regionkey) OVER (ORDER BY n_nationkey), 0))::DOUBLE AS val FROM nation"),
     "make_friedman2": (lambda s, d: io.make_friedman2(s, 1000).agg(F.count("*").alias("n"), (F.max(F.abs(F.col("y") ** 2 - F.col("x0") ** 2 - (F.col("x1") * F.col("x2") - 1 / (F.col("x1") * F.col("x3"))) ** 2)) < 1e-3).alias("exact")), "SELECT 1000::BIGINT AS n, true AS exact"),
     "make_swiss_roll": (lambda s, d: io.make_swiss_roll(s, 1000).agg(F.count("*").alias("n"), (F.max(F.abs(F.col("x0") ** 2 + F.col("x2") ** 2 - F.col("t") ** 2)) < 1e-6).alias("exact")), "SELECT 1000::BIGINT AS n, true AS exact"),
 }

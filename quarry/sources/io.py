@@ -42,6 +42,26 @@ def spmm(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select(F.col("row").alias("col"), F.col("col").alias("c2"), F.col("val").alias("v2")), "col").groupBy("row", F.col("c2").alias("col")).agg(F.sum(F.col("val") * F.col("v2")).alias("val"))
 
 
+def eye(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("row"), F.col("id").alias("col"), F.lit(1.0).alias("val"))
+
+
+def diags(spark: SparkSession, n: int, diagonals: dict[int, float]) -> DataFrame:
+    """A square matrix with one value on each diagonal; those above the main one have positive offsets."""
+    x = spark.range(n).withColumn("d", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(float(v)).alias("v")) for k, v in diagonals.items()])))
+    x = x.select(F.col("id").alias("row"), (F.col("id") + F.col("d.k")).alias("col"), F.col("d.v").alias("val"))
+    return x.where((F.col("col") >= 0) & (F.col("col") < n))
+
+
+def hstack(a: DataFrame, b: DataFrame, a_columns: int) -> DataFrame:
+    """Columns of ``b`` to the right of the ``a_columns`` of ``a``."""
+    return a.unionByName(b.withColumn("col", F.col("col") + a_columns))
+
+
+def vstack(a: DataFrame, b: DataFrame, a_rows: int) -> DataFrame:
+    return a.unionByName(b.withColumn("row", F.col("row") + a_rows))
+
+
 def transpose(a: DataFrame) -> DataFrame:
     return a.select(F.col("col").alias("row"), F.col("row").alias("col"), "val")
 

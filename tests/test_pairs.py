@@ -317,3 +317,78 @@ def test_onnx_gives_the_same_predictions(moons):
     assert np.abs(got - m.forward(x)[-1]).max() < 1e-5
     linear = io.onnx_layers([(np.array([[2.0], [3.0]]), np.array([1.0]))])
     assert ort.InferenceSession(linear).run(None, {"input": np.ones((1, 2), "float32")})[0][0, 0] == 6
+
+
+def test_boosted_regression_and_cross_validated_logistic(spark, moons):
+    from quarry.operators import selection as S
+    from quarry.operators import trees as T
+
+    curve = moons.withColumn("y", F.sin(F.col("x0") * 2))
+    for loss in ("linear", "square", "exponential"):
+        p = T.adaboost_regressor(curve, ["x0"], "y", 2, loss=loss)
+        assert curve.agg(F.avg((p - F.col("y")) ** 2)).first()[0] < 0.05
+    m, scores = L.logistic_cv(S.k_fold(moons, "id", 3, seed=1), X2, "label", "fold", (0.01, 1.0, 100.0))
+    assert len(scores) == 3 and max(scores) > 0.8 and len(m.coef) == 2
+
+
+def test_stratified_folds_with_a_class_of_most_rows_and_nulls(spark):
+    from quarry.operators import selection as S
+
+    df = spark.range(1000).withColumn("y", F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 10 == 1, "b").otherwise("a"))
+    x = S.numbered(df, "id", by="y").collect()
+    assert len(x) == 1000
+    for c in (None, "a", "b"):
+        assert [r._n for r in sorted((r for r in x if r.y == c), key=lambda r: r.id)] == list(range(sum(r.y == c for r in x)))
+    split = S.shuffle_split(df, "id", 1, 0.2, y="y").groupBy("y").agg(F.sum(F.col("test_0").cast("int")).alias("n"))
+    assert {r.y: r.n for r in split.collect()} == {None: 20, "b": 20, "a": 160}
+    folds = S.repeated_stratified_k_fold(df.dropna(), "id", "y", 4, 2)
+    assert {r[1] for r in folds.groupBy("fold_1").agg(F.sum((F.col("y") == "b").cast("int"))).collect()} == {25}
+
+
+def test_left_out_predictions(spark):
+    from quarry.operators import neighbors as NB
+
+    df = spark.range(30).select("id", (F.col("id") / 3).alias("u"), F.sin(F.col("id") / 3).alias("y"))
+    hat = NB.hat_matrix(df, "id", "u", "y", 0.5)
+    rows = [(r.id, r.u, r.y) for r in df.collect()]
+    for r in hat.collect():
+        w = [(math.exp(-(((rows[r.id][1] - u) / 0.5) ** 2) / 2), y) for i, u, y in rows if i != r.id]
+        assert r.left_out == pytest.approx(sum(a * b for a, b in w) / sum(a for a, _ in w), abs=1e-9)
+    assert 1 < NB.effective_df(hat) < 30
+    best, errors = NB.cross_validated_bandwidth(df, "id", "u", "y", [0.3, 5.0])
+    assert best == 0.3 and errors[0] < errors[1]
+    pairs = spark.createDataFrame([(1, 2, 0.5)], "i long, j long, distance double")
+    assert tuple(NB.neighbors_graph(pairs, "distance").first()) == (1, 2, 0.5)
+
+
+def test_local_polynomials_are_exact_on_polynomials(spark):
+    from quarry.operators import neighbors as NB
+
+    train = spark.range(50).select((F.col("id") / 10).alias("u"), ((F.col("id") / 10) ** 3 - F.col("id")).alias("y"))
+    q = spark.createDataFrame([(0, 1.0), (1, 2.5), (2, 100.0)], "i long, x double")
+    got = {r.i: r.prediction for r in NB.local_polynomial(q, train, 0.5, 3, "epanechnikov").collect()}
+    assert got[0] == pytest.approx(1 - 10, abs=1e-5) and got[1] == pytest.approx(2.5**3 - 25, abs=1e-5) and got[2] is None
+
+
+def test_solvers():
+    from quarry.functions.special import lanczos, trust_region
+    from quarry.operators.preprocess import rfe_cv
+
+    f = lambda x: (1 - x[0]) ** 2 + 100 * (x[1] - x[0] ** 2) ** 2
+    g = lambda x: np.array([-2 * (1 - x[0]) - 400 * x[0] * (x[1] - x[0] ** 2), 200 * (x[1] - x[0] ** 2)])
+    assert trust_region(f, g, np.array([-1.2, 1.0])) == pytest.approx([1, 1], abs=1e-5)
+    a = np.random.default_rng(0).normal(size=(60, 60))
+    a = a + a.T
+    v, w = lanczos(lambda x: a @ x, 60, 3, steps=60)
+    assert v == pytest.approx(np.linalg.eigvalsh(a)[::-1][:3]) and np.abs(a @ w - w * v).max() < 1e-6
+    assert lanczos(lambda x: x, 5, 2)[0] == pytest.approx([1, 1])
+    best, scores = rfe_cv(["a", "b", "c"], lambda s: [{"a": 3, "b": 1, "c": 2}[c] for c in s], lambda s: 1.0 if "c" in s and "a" in s else 0.0)
+    assert best == ["a", "c"] and scores == {3: 1.0, 2: 1.0, 1: 0.0}
+
+
+def test_sparse_builders(spark):
+    d = {(r.row, r.col): r.val for r in io.diags(spark, 3, {0: 2.0, 1: -1.0}).collect()}
+    assert d == {(0, 0): 2, (1, 1): 2, (2, 2): 2, (0, 1): -1, (1, 2): -1}
+    e = io.eye(spark, 2)
+    assert sorted((r.row, r.col) for r in io.hstack(e, e, 2).collect()) == [(0, 0), (0, 2), (1, 1), (1, 3)]
+    assert sorted((r.row, r.col) for r in io.vstack(e, e, 2).collect()) == [(0, 0), (1, 1), (2, 0), (3, 1)]
