@@ -90,10 +90,12 @@ def features(f: Finding, transitions: np.ndarray) -> list[float]:
 def candidates(raw: bytes, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, str]]:
     """(document, start, end, kind) in bytes of the block, in order."""
     found: dict[tuple[int, int], str] = {}
-    for m in _ASSIGNED.finditer(raw):
-        found[m.span(1)] = "assigned"
-    for m in _PRIVATE.finditer(raw):
-        found[m.span()] = "private-key"
+    # each document's own bytes: no match goes on into the next one
+    for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        for m in _ASSIGNED.finditer(raw, x, y):
+            found[m.span(1)] = "assigned"
+        for m in _PRIVATE.finditer(raw, x, y):
+            found[m.span()] = "private-key"
     taken = sorted(found)
     inside = _CHARS[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
@@ -114,9 +116,7 @@ def candidates(raw: bytes, data: np.ndarray, off: np.ndarray) -> list[tuple[int,
             found[x, y] = "run"
     out = []
     for (x, y), kind in sorted(found.items()):
-        d = int(np.searchsorted(off, x, side="right")) - 1
-        if y <= off[d + 1]:
-            out.append((d, x, y, kind))
+        out.append((int(np.searchsorted(off, x, side="right")) - 1, x, y, kind))
     return out
 
 

@@ -52,6 +52,12 @@ def test_planted(make):
     assert got == {1: True, 2: True, 3: False, 4: False, 5: True, 6: False}
 
 
+def test_a_document_ends_its_values(make):
+    rows = [(1, "das password=e0b5ed8cc1234567d0"), (2, "next words"), (3, "token="), (4, "firstword12345678 b"), (5, ""), (6, "-----BEGIN RSA PRIVATE "), (7, "KEY-----")]
+    got = {(r.doc_id, r.start, r.length, r.kind) for r in S.scan(make(rows).coalesce(1)).collect()}
+    assert got == {(1, 13, 18, "assigned"), (4, 0, 17, "run")}
+
+
 def test_transitions(make):
     p = np.exp(S.corpus_transitions(make([(1, "ab"), (2, "ab"), (3, ""), (4, "b"), (5, None)])))
     assert np.allclose(p.sum(1), 1)
