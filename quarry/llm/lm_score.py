@@ -1,8 +1,11 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 Every token is predicted from SIDE tokens on both sides of it, itself hidden; a document's score is the sum of the logarithms of
-these conditional probabilities. Tokens are words [^\\x20\\x09-\\x0D]+: the FREQUENT most frequent words of the whole corpus, and BUCKETS
-classes of all others by hash. The words of all documents are counted; the counts also start the output layer.
+these conditional probabilities. Tokens are words [^\\x20\\x09-\\x0D]+. The network predicts a word's class: the FREQUENT most frequent words of
+the whole corpus are classes of their own, all others are in BUCKETS classes by hash. A word's probability is its class's times its own given
+the class, from the counts of all words of the corpus: (count + 1) / (tokens + words + 1 of the class), and 1 / (...) for
+all unseen words of the class together. The table of counts is written and grows with the corpus; its KNOWN most frequent words are broadcast, the
+others joined. The counts also start the output layer.
 
 The network (embeddings, a tanh layer, a softmax) is trained in numpy where the texts are: in each round all tasks start from the same weights, go
 once through every STRIDE-th position of all their documents by Adam, and return weights with the number of
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._arrays import blocks, column, segments, word_hashes
@@ -31,6 +34,8 @@ FREQUENT, BUCKETS = 96, 31
 OUTSIDE = FREQUENT + BUCKETS
 SIDE, WIDTH, HIDDEN = 2, 12, 32
 STRIDE, ROUNDS, BATCH, RATE = 8, 2, 1024, 0.01
+#: Words whose probabilities are broadcast; rarer ones are joined.
+KNOWN = 1 << 16
 
 SCHEMA = "doc_id long, n_tokens long, sum_log_prob double, mean_log_prob double"
 
@@ -201,16 +206,25 @@ def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([s.tobytes() for _, s in held.values()], pa.binary())], names=["part", "n", "sums"])
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Network:
-    """Counts the words of all ``docs`` (text) and trains on them."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """The words of all ``docs`` (text) by hash, with their counts: word, n; a written table."""
+    rows = docs.select(docs["text"].cast("string").alias("text"))
+    return written(rows.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def _bucket() -> Column:
+    """The bucket of an unsigned hash, in signed arithmetic."""
+    return F.pmod(F.pmod("word", F.lit(BUCKETS)) + F.when(F.col("word") < 0, (1 << 64) % BUCKETS).otherwise(0), F.lit(BUCKETS))
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE, counts: DataFrame | None = None) -> Network:
+    """Trains on all ``docs`` (text), whose ``word_counts`` are ``counts``."""
     spark = docs.sparkSession
     rows = docs.select(docs["text"].cast("string").alias("text"))
-    counts = written(rows.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = word_counts(docs) if counts is None else counts
     frequent = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    # the bucket of an unsigned hash, in signed arithmetic
-    bucket = F.pmod(F.pmod("word", F.lit(BUCKETS)) + F.when(F.col("word") < 0, (1 << 64) % BUCKETS).otherwise(0), F.lit(BUCKETS))
     other = counts.where(~F.col("word").isin([w for w, _ in frequent])) if frequent else counts
-    net = start(frequent, [(r.b, r.n) for r in other.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()])
+    net = start(frequent, [(r.b, r.n) for r in other.groupBy(_bucket().alias("b")).agg(F.sum("n").alias("n")).collect()])
     for _ in range(rounds):
         held = spark.sparkContext.broadcast(net)
         models = rows.mapInArrow(functools.partial(_train, held=held, rate=rate), "part int, n long, sums binary")
@@ -235,7 +249,85 @@ def _score(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([ids.slice(i, j - i), pa.array(n), pa.array(sums), mean], names=["doc_id", "n_tokens", "sum_log_prob", "mean_log_prob"])
 
 
+@dataclass
+class Known:
+    """Hashes of words, sorted, and the logarithms of their probabilities given their classes; those of an unseen word, for each bucket."""
+
+    words: np.ndarray
+    logs: np.ndarray
+    unseen: np.ndarray
+    #: Whether these are all words of the table.
+    all: bool
+
+
+def _score_words(batches: Iterator[pa.RecordBatch], held, known) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_score`` with what the broadcast words add, a number, and the other words with their counts in the document."""
+    from pyspark import TaskContext
+
+    net: Network = held.value
+    k: Known = known.value
+    context = TaskContext.get()
+    row = (context.partitionId() if context else 0) << 36
+    for batch in batches:
+        ids = batch.column(0)
+        for i, j, data, off in blocks(column(batch, "text")):
+            starts, _, words = segments(data, off)
+            h = word_hashes(data, starts)
+            y = tokens(net, h)
+            each = log_probs(net.weights, contexts(y, words), y)
+            inner = np.flatnonzero(y >= FREQUENT)
+            at = np.minimum(np.searchsorted(k.words, h[inner]), max(0, len(k.words) - 1))
+            found = k.words[at] == h[inner] if len(k.words) else np.zeros(len(inner), bool)
+            each[inner[found]] += k.logs[at[found]]
+            rest = inner[~found]
+            if k.all:
+                each[rest] += k.unseen[y[rest] - FREQUENT]
+                rest = rest[:0]
+            total = np.concatenate([[0.0], np.cumsum(each)])
+            # distinct (document, word) of the words to be joined
+            doc = np.searchsorted(words, rest, side="right") - 1
+            order = np.lexsort((h[rest], doc))
+            doc, w = doc[order], h[rest][order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (w[1:] != w[:-1])])) if len(doc) else doc
+            times = np.diff(np.concatenate([first, [len(doc)]]))
+            cut = pa.array(np.searchsorted(doc[first], np.arange(j - i + 1)), pa.int32())
+            yield pa.record_batch(
+                [pa.array(np.arange(row, row + j - i)), ids.slice(i, j - i), pa.array(np.diff(words)), pa.array(total[words[1:]] - total[words[:-1]]), pa.ListArray.from_arrays(cut, pa.array(w[first].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(times, pa.int64()))],
+                names=["row", "doc_id", "n_tokens", "sum_log_prob", "words", "times"],
+            )
+            row += j - i
+
+
+def score_words(docs: DataFrame, net: Network, counts: DataFrame) -> DataFrame:
+    """One row for each of ``docs`` (doc_id, text): SCHEMA, of the words themselves, by the ``word_counts`` that ``net`` was fitted with."""
+    context = docs.sparkSession.sparkContext
+    own = counts.where(~F.col("word").isin(net.words.view(np.int64).tolist())) if len(net.words) else counts
+    sizes = {r.b: (r.n, r.words) for r in own.groupBy(_bucket().alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
+    unseen = -np.log([sum(sizes.get(b, (0, 0))) + 1.0 for b in range(BUCKETS)])
+    # counts in narrow ranges show which words are the KNOWN most frequent at most, without sorting the table
+    level = F.floor(F.log2("n") * 16)
+    levels = {r.level: r.words for r in own.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()}
+    high = [x for x in levels if sum(n for y, n in levels.items() if y >= x) <= KNOWN]
+    top = own.where(level >= min(high)).collect() if high else []
+    h = np.array([r.word for r in top], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    logs = np.log(np.array([r.n for r in top], np.float64) + 1) + unseen[(h % np.uint64(BUCKETS)).astype(np.int64)]
+    everything = len(top) == sum(words for _, words in sizes.values())
+    held, known = context.broadcast(net), context.broadcast(Known(h[order], logs[order], unseen, everything))
+    rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    kind = "row long, doc_id long, n_tokens long, sum_log_prob double, words array<long>, times array<long>"
+    found = rows.mapInArrow(functools.partial(_score_words, held=held, known=known), kind)
+    if not everything:
+        # none of the joined words has over 1 / KNOWN of the tokens
+        found = written(found, "scores")
+        tail = found.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+        log = F.log(F.coalesce(F.col("n"), F.lit(0)) + 1.0) + F.element_at(F.array(*map(F.lit, unseen.tolist())), (_bucket() + 1).cast("int"))
+        added = tail.join(own.hint("merge"), "word", "left").groupBy("row").agg(F.sum(F.col("times") * log).alias("more"))
+        found = found.drop("words", "times").join(added, "row", "left").withColumn("sum_log_prob", F.col("sum_log_prob") + F.coalesce("more", F.lit(0.0)))
+    return found.select("doc_id", "n_tokens", "sum_log_prob", F.when(F.col("n_tokens") > 0, F.col("sum_log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
-    """One row for each of ``docs`` (doc_id, text): SCHEMA."""
+    """One row for each of ``docs`` (doc_id, text): SCHEMA, of the words' classes only; ``score_words`` has the words' own probabilities."""
     held = docs.sparkSession.sparkContext.broadcast(net)
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(functools.partial(_score, held=held), SCHEMA)

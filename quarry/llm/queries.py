@@ -20,7 +20,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.fit(docs))
+    counts = lm_score.word_counts(docs)
+    return lm_score.score_words(docs, lm_score.fit(docs, counts=counts), counts)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

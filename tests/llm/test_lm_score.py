@@ -82,3 +82,26 @@ def test_counts_start_the_output_layer(spark, make):
     net = L.fit(make([(1, "x x x y"), (2, "x z")]), rounds=0)
     p = np.exp(net.weights[4])
     assert p.argmax() == word_id(net, "x") and abs(p.sum() - 1) < 1e-5
+
+
+def test_words_have_their_own_probabilities(spark, data, odd, nothing, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    counts = L.word_counts(docs)
+    net = L.fit(docs, counts=counts)
+    seen = {}
+    for _, t in texts_of(docs):
+        for w in W.findall(t or ""):
+            seen[w] = seen.get(w, 0) + 1
+    size = {}
+    for w, n in seen.items():
+        b = word_id(net, w)
+        size[b] = size.get(b, 0) + n + 1
+    own = lambda w: 0.0 if (b := word_id(net, w)) < L.FREQUENT else np.log((seen.get(w, 0) + 1) / (size.get(b, 0) + 1))
+    for known in (10, L.KNOWN):
+        monkeypatch.setattr(L, "KNOWN", known)
+        for some in (docs.limit(8), odd.where("doc_id < 6 OR doc_id = 7 OR doc_id IS NULL")):
+            want = sorted((i if i is not None else -1, brute(net, t)[0], brute(net, t)[1] + sum(map(own, W.findall(t or "")))) for i, t in texts_of(some))
+            got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.sum_log_prob) for r in L.score_words(some, net, counts).collect())
+            assert [x[:2] for x in got] == [x[:2] for x in want]
+            assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-4, atol=1e-4)
+    assert L.score_words(nothing, L.fit(nothing), L.word_counts(nothing)).count() == 0
