@@ -8,7 +8,7 @@ all unseen words of the class together. The table of counts is written and grows
 others joined. The counts also start the output layer.
 
 The network (embeddings, a tanh layer, a softmax) is trained in numpy where the texts are: in each round all tasks start from the same weights, go
-once through every STRIDE-th position of all their documents by Adam, and return weights with the number of
+once through every position of all their documents by Adam, and return weights with the number of
 positions; Spark sums the weighted parts, and the driver takes their mean. What is gathered so grows with the corpus (a model for each task),
 and what the driver gets has the size of one model.
 
@@ -33,7 +33,7 @@ from quarry.llm._shared import written
 FREQUENT, BUCKETS = 96, 31
 OUTSIDE = FREQUENT + BUCKETS
 SIDE, WIDTH, HIDDEN = 2, 12, 32
-STRIDE, ROUNDS, BATCH, RATE = 8, 2, 1024, 0.01
+ROUNDS, BATCH, RATE = 2, 1024, 0.01
 #: Words whose probabilities are broadcast; rarer ones are joined.
 KNOWN = 1 << 16
 
@@ -110,9 +110,9 @@ def gradients(weights: list[np.ndarray], ctx: np.ndarray, y: np.ndarray) -> tupl
     p /= n
     dh = (p @ w2.T) * (1 - hidden * hidden)
     dx = (dh @ w1.T).reshape(n * ctx.shape[1], -1)
-    one = np.zeros((len(e), n * ctx.shape[1]), np.float32)
-    one[ctx.ravel(), np.arange(n * ctx.shape[1])] = 1
-    return loss, [one @ dx, x.T @ dh, dh.sum(0), hidden.T @ p, p.sum(0)]
+    at = ctx.ravel()[:, None] * WIDTH + np.arange(WIDTH)
+    de = np.bincount(at.ravel(), dx.ravel(), e.size).reshape(e.shape)
+    return loss, [de, x.T @ dh, dh.sum(0), hidden.T @ p, p.sum(0)]
 
 
 class Adam:
@@ -169,10 +169,8 @@ def _train(batches: Iterator[pa.RecordBatch], held, rate: float) -> Iterator[pa.
                 continue
             ids = tokens(net, word_hashes(data, starts))
             ctx = contexts(ids, words)
-            at = np.arange(len(ids)) - np.repeat(words[:-1], np.diff(words))
-            some = np.flatnonzero(at % STRIDE == STRIDE // 2) if len(ids) >= STRIDE else np.arange(len(ids))
-            left.append((ctx[some], ids[some]))
-            seen += len(some)
+            left.append((ctx, ids))
+            seen += len(ids)
             if sum(len(y) for _, y in left) >= BATCH:
                 c, y = np.concatenate([c for c, _ in left]), np.concatenate([y for _, y in left])
                 for a in range(0, len(y) - BATCH + 1, BATCH):

@@ -105,3 +105,17 @@ def test_words_have_their_own_probabilities(spark, data, odd, nothing, monkeypat
             assert [x[:2] for x in got] == [x[:2] for x in want]
             assert np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-4, atol=1e-4)
     assert L.score_words(nothing, L.fit(nothing), L.word_counts(nothing)).count() == 0
+
+
+def test_every_position_trains(monkeypatch):
+    net = L.start([(k, 9) for k in range(L.FREQUENT)], [])
+    class Held:
+        value = net
+    trained = []
+    monkeypatch.setattr(L.Adam, "step", lambda self, ctx, y: trained.append((ctx.copy(), y.copy())) or 0.0)
+    texts = ["a b c", "d", "", "e f g h i j k l m n", "o p"] * 300
+    out = list(L._train(iter([pa.record_batch([pa.array(texts)], names=["text"])]), Held, 0.01))
+    assert out[0].column(1).to_pylist() == [300 * 16] * 5 and sum(len(y) for _, y in trained) == 300 * 16
+    # a document's first word has nothing to its left, its last nothing to its right
+    ctx = np.concatenate([c for c, _ in trained])
+    assert (ctx[:, 1] == L.OUTSIDE).sum() == (ctx[:, 2] == L.OUTSIDE).sum() == 300 * 4
