@@ -38,7 +38,7 @@ DICTIONARY = ("access", "account", "admin", "application", "article", "author",
 
 FEATURES = ("length", "digits", "upper", "lower", "symbols", "transitions", "entropy", "dictionary", "key_words", "placeholders", "other_words", "path", "hexadecimal", "prefix", "assigned", "private")
 
-_ASSIGNED = re.compile(rb"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)[\"']?[ \t]*[:=][ \t]*[\"']?([^\s\"'<>,;]{6,512})")
+_ASSIGNED = re.compile(rb"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)[\"']?[ \t]*[:=][ \t]*[\"']?([^\s\"'<>,;]{6,})")
 _PRIVATE = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
 _CHARS = np.zeros(256, bool)
 _CHARS[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True

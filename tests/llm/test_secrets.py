@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import numpy as np
@@ -58,6 +59,12 @@ def test_a_document_ends_its_values(make):
     assert got == {(1, 13, 18, "assigned"), (4, 0, 17, "run")}
 
 
+def test_long_values_are_whole(make):
+    value = "a1b2c3d4" * 100
+    r, = S.scan(make([(1, f"token={value} end")])).collect()
+    assert (r.start, r.length, r.value_sha256) == (6, 800, hashlib.sha256(value.encode()).hexdigest())
+
+
 def test_transitions(make):
     p = np.exp(S.corpus_transitions(make([(1, "ab"), (2, "ab"), (3, ""), (4, "b"), (5, None)])))
     assert np.allclose(p.sum(1), 1)
