@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm._arrays import blocks, column, mix, segments, window_hashes, word_hashes
 from quarry.llm._shared import look_up, written
@@ -199,6 +200,17 @@ def _compare(t: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"cid": pa.array(cid[keep], pa.int64()), "root": pa.array(cid[top][keep], pa.int64()), "links": pa.array(links[keep], pa.int64())})
 
 
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns and the fingerprint of the row's set, null without one."""
+    for batch in batches:
+        f, none = np.zeros((batch.num_rows, 2), np.int64), np.ones(batch.num_rows, bool)
+        for i, sets in shingle_sets(column(batch, "text")):
+            if full := [k for k, x in enumerate(sets) if len(x)]:
+                at = i + np.array(full)
+                f[at], none[at] = fingerprints([sets[k] for k in full]), False
+        yield pa.record_batch([*batch.columns, pa.array(f[:, 0], mask=none), pa.array(f[:, 1], mask=none)], names=[*batch.schema.names, "_f1", "_f2"])
+
+
 def near_join(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row for each of ``docs`` (doc_id, text): doc_id, class_id, n_links, copy_id."""
     return _numbered(docs, threshold).select("doc_id", "class_id", "n_links", "copy_id")
@@ -238,20 +250,22 @@ def _numbered(docs: DataFrame, threshold: float) -> DataFrame:
     tops = labelled.groupBy("root").agg(F.min(F.struct(F.col("copy_id").isNull(), "copy_id")).alias("top"), F.count("*").alias("n"))
     labelled = look_up(labelled, tops, ["root"], "n", total).select("f1", "f2", "weight", "copy_id", F.col("top.copy_id").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "root", "cid")
     known = look_up(full.select("row", "doc_id", "f1", "f2"), written(labelled, "classes"), ["f1", "f2"], "weight", total)
-    known = known.select("row", "doc_id", "class_id", "n_links", "copy_id", "root", "cid")
-    blank = sets.where("bands IS NULL").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"), F.col("row").alias("root"), F.col("row").alias("cid"))
+    known = known.select("row", "doc_id", "class_id", "n_links", "copy_id", "root", "cid", "f1", "f2")
+    blank = sets.where("bands IS NULL").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"), F.col("row").alias("root"), F.col("row").alias("cid"), F.lit(None).cast("long").alias("f1"), F.lit(None).cast("long").alias("f2"))
     return known.unionByName(blank)
 
 
 def drop_near(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each class: that of the smallest doc_id; all columns, texts unchanged."""
+    """``docs`` with one row of each class: of the smallest doc_id (nulls last), then of the smallest fingerprint; all columns, texts unchanged. Blank texts all stay."""
     numbered = written(_numbered(docs, threshold), "numbered")
-    # of rows with one doc_id and one class, one stays; blank texts all do
-    gone = numbered.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct().hint("merge")
-    left = docs.join(gone, F.col("_gone").eqNullSafe(docs["doc_id"].cast("long")), "left_anti")
-    twice = numbered.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_twice"), "_n")
-    marked = left.join(twice, F.col("_twice").eqNullSafe(left["doc_id"].cast("long")), "left")
-    text = F.trim(F.coalesce(left["text"].cast("string"), F.lit("")))
-    place = F.row_number().over(Window.partitionBy(left["doc_id"]).orderBy(F.length(text).desc()))
-    marked = marked.withColumns({"_place": F.when(F.col("_n").isNotNull() & (text != ""), place).otherwise(1)})
-    return marked.where("_place = 1").select(*[left[c] for c in docs.columns])
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "f1", "f2"))
+    stay = numbered.where("f1 IS NOT NULL").groupBy("root").agg(best.alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.f1").alias("_g1"), F.col("best.f2").alias("_g2"))
+    kind = T.StructType([*docs.schema.fields, T.StructField("_f1", T.LongType()), T.StructField("_f2", T.LongType())])
+    marked = docs.mapInArrow(_prints, kind)
+    blank = marked.where("_f1 IS NULL")
+    same = F.col("_id").eqNullSafe(marked["doc_id"].cast("long")) & (F.col("_f1") == F.col("_g1")) & (F.col("_f2") == F.col("_g2"))
+    left = marked.where("_f1 IS NOT NULL").join(stay.hint("merge"), same)
+    # rows of one doc_id with one set are copies
+    place = F.row_number().over(Window.partitionBy("_id", "_f1", "_f2").orderBy(F.length(left["text"].cast("string")).desc()))
+    kept = left.withColumn("_place", place).where("_place = 1")
+    return kept.select(*docs.columns).unionByName(blank.select(*docs.columns))

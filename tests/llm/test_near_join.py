@@ -105,3 +105,10 @@ def test_components(spark):
     want = {x: find(x) for p in pairs for x in p if p[0] != p[1]}
     have = components(spark.createDataFrame(pairs, "u long, v long")).collect()
     assert {r.node: r.root for r in have} == want and len(have) == len(want)
+
+
+def test_rows_of_null_and_repeated_ids_are_told_apart(make):
+    say = lambda k: " ".join(f"w{k}x{m}" for m in range(60))
+    rows = [(None, say(1)), (None, say(2)), (None, say(3)), (1, say(3) + " more"), (2, say(4)), (2, say(5)), (3, say(6)), (4, say(6) + " more"), (4, say(7)), (None, "")]
+    got = sorted(r.text for r in N.drop_near(make(rows)).collect())
+    assert got == sorted([say(1), say(2), say(3) + " more", say(4), say(5), say(6), say(7), ""])
