@@ -14,7 +14,8 @@ with a deviation of 4; RADIUS is over 4.5 deviations beyond.
 Weights: the logarithm of (1 + items) / (items with the shingle), so that phrases common to many items
 count less; a shingle of no item counts like one of a single item.
 
-Items are taken in passes of at most ``pass_items``, each a search over all rows, so what is broadcast has a bound. An item of
+Items are taken in passes of at most ``pass_items``, each a search over all rows. Weights are those of the whole benchmark in each pass; the
+counts of shingles that several items share are broadcast with it, all others are 1. An item of
 fewer than five words is one shingle of all its words.
 
 Defined cases: null or empty texts and items match nothing; a document's best window for each item is reported, the first of equals; repeated rows
@@ -27,6 +28,7 @@ import functools
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +83,8 @@ def _words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield i, word_hashes(data, starts, 0, GAP), words
 
 
-def prepare(rows: list[tuple[int, str]], radius: int = RADIUS) -> Items:
+def prepare(rows: list[tuple[int, str]], radius: int = RADIUS, total: int | None = None, shared: dict[int, int] | None = None) -> Items:
+    """Of one pass; ``total`` items and the counts of shingles ``shared`` by several of them, where there are more passes."""
     hashed: list[np.ndarray] = []
     for _, h, words in _words(pa.array([t or "" for _, t in rows], pa.large_string())):
         hashed += [h[a:b] for a, b in zip(words[:-1], words[1:], strict=True)]
@@ -94,8 +97,11 @@ def prepare(rows: list[tuple[int, str]], radius: int = RADIUS) -> Items:
         out.sets.append(set(s.tolist()))
         for x in out.sets[-1]:
             counts[x] += 1
-    out.default = float(np.log(1 + n)) if n else 1.0
-    out.weight = {x: float(np.log((1 + n) / c)) for x, c in counts.items()}
+    most = n if total is None else total
+    out.default = float(np.log(1 + most)) if n else 1.0
+    if shared is not None:
+        counts = dict.fromkeys(counts, 1) | shared
+    out.weight = {x: float(np.log((1 + most) / c)) for x, c in counts.items()}
     prints = np.zeros((n, BITS // 8), np.uint8)
     for k, s in enumerate(shingles):
         size = min(SHINGLE, out.lengths[k])
@@ -207,13 +213,38 @@ def _passes(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct shingles of each item, and a null for the item itself."""
+    for batch in batches:
+        for _, h, words in _words(column(batch, "text")):
+            for a, b in zip(words[:-1].tolist(), words[1:].tolist(), strict=True):
+                if b > a:
+                    s = np.unique(window_hashes(h[a:b], min(SHINGLE, b - a)))
+                    yield pa.record_batch([pa.array([*s.view(np.int64).tolist(), None], pa.int64())], names=["shingle"])
+
+
+def _prepared(benchmark: DataFrame, most: int, radius: int) -> Iterator[Items]:
+    """The items of each pass, with weights from the whole benchmark."""
+    passes = _passes(benchmark, most)
+    held = [x for x in (next(passes, None), next(passes, None)) if x]
+    if len(held) < 2:
+        yield from (prepare(x, radius) for x in held)
+        return
+    texts = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string").alias("text"))
+    counts = texts.mapInArrow(_item_shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1 OR shingle IS NULL").collect()
+    total = sum(r.n for r in counts if r.shingle is None)
+    shared = {r.shingle % (1 << 64): r.n for r in counts if r.shingle is not None}
+    for x in chain(held, passes):
+        yield prepare(x, radius, total, shared)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS, pass_items: int = PASS_ITEMS) -> DataFrame:
     """Matches of ``docs`` (doc_id, text) with ``benchmark`` (item_id, text), one row for a document's best window for an item."""
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
     out = None
-    for block in _passes(benchmark, pass_items):
-        held = spark.sparkContext.broadcast(prepare(block, radius))
+    for items in _prepared(benchmark, pass_items, radius):
+        held = spark.sparkContext.broadcast(items)
         part = rows.mapInArrow(functools.partial(_search, held=held, threshold=threshold), SCHEMA)
         out = part if out is None else out.unionByName(part)
     out = out if out is not None else spark.createDataFrame([], SCHEMA)
@@ -231,7 +262,7 @@ def _clean(batches: Iterator[pa.RecordBatch], held, threshold: float) -> Iterato
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS, pass_items: int = PASS_ITEMS) -> DataFrame:
     """``docs`` without the documents that hold an item; all columns, texts unchanged. A narrow stage for each pass."""
-    for block in _passes(benchmark, pass_items):
-        held = docs.sparkSession.sparkContext.broadcast(prepare(block, radius))
+    for items in _prepared(benchmark, pass_items, radius):
+        held = docs.sparkSession.sparkContext.broadcast(items)
         docs = docs.mapInArrow(functools.partial(_clean, held=held, threshold=threshold), docs.schema)
     return docs

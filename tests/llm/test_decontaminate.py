@@ -91,3 +91,13 @@ def test_blocks_guarantee_the_radius():
             bits[rng.choice(128, D.RADIUS, replace=False)] ^= 1
             p = np.packbits(bits)
             assert any(items.index[b, p[b], k // 8] >> (k % 8) & 1 for b in range(D.BLOCKS))
+
+
+def test_weights_do_not_depend_on_passes(spark, make):
+    phrase = "choose the best answer to the following question about the text"
+    items = [(k, f"{phrase} " + " ".join(f"w{k}x{m}" for m in range(12))) for k in range(6)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = make([(k, f"{phrase} " + " ".join(f"w{k}x{m}" for m in range(12 - k % 3)) + f" tail{k} end{k}") for k in range(6)] + [(9, f"{phrase} nothing else of it")])
+    def rows(most):
+        return sorted((r.doc_id, r.item_id, r.first_word, r.hamming, round(r.similarity, 9)) for r in D.contaminated(docs, benchmark, 0.3, 60, most).collect())
+    assert rows(1) == rows(2) == rows(2048) != []
