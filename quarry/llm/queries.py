@@ -19,9 +19,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    counts = lm_score.word_counts(docs)
-    return lm_score.score_words(docs, lm_score.fit(docs, counts=counts), counts)
+    return lm_score.fit_and_score(table(spark, sf_dir, "documents"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
