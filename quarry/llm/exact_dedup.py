@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._arrays import SPACE, blocks, column
-from quarry.llm._shared import look_up, written
+from quarry.llm._shared import drop_rows, look_up, release, row_keys, written
 
 #: A cut after every byte at which this many high bits of the rolling hash are zero: 2,048 bytes on average.
 CUT_BITS = 11
@@ -37,7 +37,7 @@ MOST_BYTES = 16_384
 
 _GEAR = np.random.default_rng(7_919).integers(0, 1 << 32, 256, dtype=np.uint32)
 
-DIGESTS = "row long, doc_id long, points long, text_sha256 string, chunks array<struct<name:long,length:int,sha:binary>>"
+DIGESTS = "row long, doc_id long, k1 long, k2 long, points long, text_sha256 string, chunks array<struct<name:long,length:int,sha:binary>>"
 
 
 def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -78,30 +78,36 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     chunks.append({"name": xxhash.xxh3_64_intdigest(c) - (1 << 63), "length": e - a, "sha": hashlib.sha256(c).digest()})
                     a = e
                 lists.append(chunks)
-            yield pa.record_batch([pa.array(np.arange(row, row + j - i)), ids.slice(i, j - i), pa.array(points), pa.array(sha), pa.array(lists, kind)], names=["row", "doc_id", "points", "text_sha256", "chunks"])
+            keys = (batch.column(k).slice(i, j - i) for k in (2, 3))
+            yield pa.record_batch([pa.array(np.arange(row, row + j - i)), ids.slice(i, j - i), *keys, pa.array(points), pa.array(sha), pa.array(lists, kind)], names=["row", "doc_id", "k1", "k2", "points", "text_sha256", "chunks"])
             row += j - i
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """Of ``docs`` (doc_id, text), one row each: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
-    digests = written(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(_digests, DIGESTS), "digests")
+def _groups(docs: DataFrame) -> DataFrame:
+    """Of ``docs`` (doc_id, text), one row each: row keys, and the columns of ``exact_groups``."""
+    k1, k2 = row_keys(docs)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), k1.alias("k1"), k2.alias("k2"))
+    digests = written(rows.mapInArrow(_digests, DIGESTS), "digests")
     total = digests.count()
     chunks = digests.select("row", F.posexplode("chunks").alias("place", "chunk")).select("row", "place", "chunk.name", "chunk.length", "chunk.sha")
     store = written(chunks.groupBy("name", "length", "sha").agg(F.count("*").alias("uses")).withColumn("chunk_id", F.monotonically_increasing_id()), "chunks")
     named = look_up(chunks, store, ["name", "length", "sha"], "uses", total)
     lists = named.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x["chunk_id"]).alias("recipe"))
     recipes = written(digests.drop("chunks").join(lists, "row", "left").withColumn("recipe", F.coalesce("recipe", F.array().cast("array<long>"))), "recipes")
-    groups = recipes.groupBy("recipe").agg(F.count("*").alias("group_size"), F.max(F.struct("points", (-F.col("doc_id")).alias("i"), (-F.col("row")).alias("r"))).alias("best"))
+    release(digests, store)
+    best = F.min(F.struct((-F.col("points")).alias("short"), F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    groups = recipes.groupBy("recipe").agg(F.count("*").alias("group_size"), best.alias("best"))
     found = look_up(recipes, groups, ["recipe"], "group_size", total)
-    return found.select("doc_id", (-F.col("best.i")).alias("keep_id"), "group_size", (F.col("row") == -F.col("best.r")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
+    return found.select("k1", "k2", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """Of ``docs`` (doc_id, text), one row each: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
+    return _groups(docs).drop("k1", "k2")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows of each group that don't stay; all columns, texts unchanged."""
-    groups = exact_groups(docs)
-    kept = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"].cast("string"), F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
-    points = F.length(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    joined = docs.withColumns({"_text_sha": sha, "_points": points}).join(kept, F.col("_id").eqNullSafe(docs["doc_id"].cast("long")) & (F.col("_sha") == F.col("_text_sha")))
-    place = F.row_number().over(Window.partitionBy("_id", "_text_sha").orderBy(F.desc("_points")))
-    return joined.withColumn("_place", place).where("_place = 1").select(*[joined[c] for c in docs.columns])
+    """``docs`` without the rows of each group that don't stay; all columns, texts unchanged. Of rows of one doc_id and text the one stays that ``drop_rows`` keeps."""
+    copies = _groups(docs).where("group_size > 1")
+    gone = copies.groupBy("k1", "k2").agg(F.bool_or("kept").alias("keep"), F.bool_and("kept").alias("all")).where("NOT all")
+    return drop_rows(docs, written(gone.select("k1", "k2", "keep"), "gone"))

@@ -53,3 +53,13 @@ def test_drop_copies(odd, make):
 def test_empty(nothing):
     assert exact_dedup.exact_groups(nothing).count() == 0
     assert exact_dedup.drop_copies(nothing).count() == 0
+
+
+def test_smallest_id_and_clashing_names(spark):
+    rows = [(-(2**63), "a b", "x", {"k": 1}), (3, "ab", "y", None), (3, "ab", "z", None), (3, "ab", "y", None), (None, "c", "q", None), (None, "d", "r", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, `q0` map<string,int>")
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs).collect()} == {(-(2**63), -(2**63), 4), (3, -(2**63), 4), (None, None, 1)}
+    left = exact_dedup.drop_copies(docs)
+    assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == ["a b", "c", "d"]
+    first = [tuple(r) for r in exact_dedup.drop_copies(docs.where("doc_id = 3").repartition(3)).select("_id").collect()]
+    assert len(first) == 1 and all([tuple(r) for r in exact_dedup.drop_copies(docs.where("doc_id = 3").repartition(k)).select("_id").collect()] == first for k in (1, 2))

@@ -57,10 +57,23 @@ def test_against_brute_force(make):
 
 
 def test_large_family_in_blocks(make, monkeypatch):
-    for k, v in (("TASK_MEMBERS", 16), ("LEAST_BLOCK", 12), ("MOST_BLOCK", 30)):
-        monkeypatch.setattr(N, k, v)
     rows = near_copies(2, 220, 2, (60, 90), [0, 1, 1, 2, 3, 4])
-    assert got(make(rows)) == brute(rows)
+    want = brute(rows)
+    for family, block in ((1, 1 << 20), (1, 20_000), (10_000_000, 50_000)):
+        for k, v in (("TASK_BYTES", 10_000), ("FAMILY_BYTES", family), ("BLOCK_BYTES", block), ("PAIRS", 50)):
+            monkeypatch.setattr(N, k, v)
+        assert got(make(rows)) == want
+
+
+def test_long_family(make, monkeypatch):
+    """A chain in which each text is near the next only."""
+    w = [f"w{k}" for k in range(1200)]
+    rows = [(i if i % 7 else None, " ".join(w[10 * i : 10 * i + 150])) for i in range(100)]
+    want = brute(rows)
+    assert max(n for _, _, n in want) <= 4
+    for family in (1, N.FAMILY_BYTES):
+        monkeypatch.setattr(N, "FAMILY_BYTES", family)
+        assert got(make(rows)) == want
 
 
 def test_odd_rows(odd, nothing, make):
@@ -112,3 +125,10 @@ def test_rows_of_null_and_repeated_ids_are_told_apart(make):
     rows = [(None, say(1)), (None, say(2)), (None, say(3)), (1, say(3) + " more"), (2, say(4)), (2, say(5)), (3, say(6)), (4, say(6) + " more"), (4, say(7)), (None, "")]
     got = sorted(r.text for r in N.drop_near(make(rows)).collect())
     assert got == sorted([say(1), say(2), say(3) + " more", say(4), say(5), say(6), say(7), ""])
+
+
+def test_columns_of_any_name(spark):
+    rows = [(k, "a b c d e f " + "g" * (k // 2), "x", k) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string, _place int")
+    left = N.drop_near(docs)
+    assert left.columns == docs.columns and sorted(r._place for r in left.collect()) == [0, 2]
