@@ -88,3 +88,14 @@ def test_equal_windows_have_equal_anchors():
         for a, x, s in zip(at.tolist(), name.tolist(), spot.tolist(), strict=True):
             assert seen.setdefault(h[a : a + 20].tobytes(), (x, s - a)) == (x, s - a)
         assert (own < 0).mean() < 0.05
+
+
+def test_rows_of_one_id_are_told_apart(make):
+    """Texts of null and of repeated ids: each passage stays once."""
+    say = lambda k: [f"w{k}x{m}" for m in range(25)]
+    rows = [(None, " ".join(say(k) + say(k % 5 + 100))) for k in range(40)] + [(7, " ".join(say(k))) for k in range(200, 230)] + [(8, " ".join(say(203)))]
+    got = S.remove_repeats(make(rows)).collect()
+    assert sum(r.n_removed for r in got if r.doc_id is None) == 35 * 25
+    assert [r.n_removed for r in got if r.doc_id == 7] == [0] * 30 and [r.n_removed for r in got if r.doc_id == 8] == [25]
+    kept = " ".join(r.kept for r in got).split()
+    assert len(kept) == len(set(kept))
