@@ -8,7 +8,7 @@ texts reach. Which grams a language contains comes from counts over all training
 A gram is four bytes of the lower-cased text with its second a letter (so one-letter words have one, too), all
 but letters being a space. A language contains a gram that makes up MIN_SHARE of its grams, and CONTRAST of the highest share in any language.
 The grams with such a share are at most 1 / MIN_SHARE a language, whatever the size of the corpus: that bounds the model and what
-the driver collects. At most 64 languages.
+the driver collects. Masks of over 64 languages take several planes of 64 each.
 
 Defined cases: text that is null or has no letter: `und`, score 0; a text without a known gram: the language
 with the most training grams, score 0; ties: the first language in order of name; no training rows: `und`; rows with null lang or null doc_id don't train;
@@ -95,7 +95,8 @@ def _count(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[
 @dataclass(frozen=True)
 class Filters:
     languages: list[str]
-    masks: np.ndarray
+    #: For each 64 languages, the masks of the slots.
+    masks: list[np.ndarray]
     #: For each language: rate of false positives, share of its own grams that it contains, and training grams.
     false_rate: np.ndarray
     own: np.ndarray
@@ -109,8 +110,8 @@ def slots(code: np.ndarray) -> list[np.ndarray]:
 def build(languages: list[str], rows: list[tuple[int, int, int]], totals: dict[int, int]) -> Filters:
     """The filters of the grams in ``rows`` (language, gram, count), all of at least MIN_SHARE."""
     n = len(languages)
-    kind = next(k for bits, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if n <= bits)
-    masks = np.zeros(1 << SLOT_BITS, kind)
+    kinds = [next(k for bits, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if min(64, n - p) <= bits) for p in range(0, n, 64)]
+    masks = [np.zeros(1 << SLOT_BITS, kind) for kind in kinds]
     total = np.array([totals.get(k, 0) for k in range(n)], float)
     own = np.zeros(n)
     if rows:
@@ -124,8 +125,8 @@ def build(languages: list[str], rows: list[tuple[int, int, int]], totals: dict[i
             mine = keep & (lang == k)
             own[k] = share[mine].sum()
             for s in slots(gram[mine].astype(np.uint32)):
-                masks[s] |= kind(1 << k)
-    fill = np.array([np.count_nonzero(masks & kind(1 << k)) for k in range(n)]) / len(masks)
+                masks[k // 64][s] |= kinds[k // 64](1 << k % 64)
+    fill = np.array([np.count_nonzero(masks[k // 64] & kinds[k // 64](1 << k % 64)) for k in range(n)]) / (1 << SLOT_BITS)
     return Filters(languages, masks, fill ** len(MULTIPLIERS), np.maximum(own, 1e-9), total)
 
 
@@ -137,16 +138,13 @@ def fit(docs: DataFrame) -> Filters:
     """Learns from text and lang of the rows that aren't held out."""
     rows = docs.select(docs["doc_id"].alias("i"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     rows = rows.where((F.crc32(F.col("i").cast("string")) % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    found = [r[0] for r in rows.select("lang").distinct().limit(65).collect()]
-    if len(found) > 64:
-        raise ValueError("more than 64 languages")
-    languages = sorted(found)
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
     counts = rows.mapInArrow(functools.partial(_count, languages=languages), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     from quarry.llm._shared import written
 
     counts = written(counts, "grams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    least = F.coalesce(*[F.when(F.col("lang") == k, F.lit(MIN_SHARE * n)) for k, n in totals.items()]) if totals else F.lit(0.0)
+    least = F.element_at(F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, MIN_SHARE * n)]), F.col("lang")) if totals else F.lit(0.0)
     kept = [(r["lang"], r["gram"], r["n"]) for r in counts.where(F.col("n") >= least).collect()]
     return build(languages, kept, totals)
 
@@ -155,16 +153,17 @@ def hits(f: Filters, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.
     """Grams of each document, and for each document and language the grams that the filter contains."""
     docs, n = len(off) - 1, len(f.languages)
     code, doc = grams(data, off)
-    s = slots(code)
-    mask = f.masks[s[0]]
-    for x in s[1:]:
-        mask &= f.masks[x]
-    if n <= 8:
-        table = np.bincount(doc * 256 + mask, minlength=docs * 256).reshape(docs, 256)
-        bits = (np.arange(256)[:, None] >> np.arange(n)) & 1
-        return table.sum(1), table @ bits
-    kind = f.masks.dtype.type
-    return np.bincount(doc, minlength=docs), np.stack([np.bincount(doc[(mask & kind(1 << k)) != 0], minlength=docs) for k in range(n)], 1)
+    at, found = slots(code), []
+    for p, masks in enumerate(f.masks):
+        mask, here = masks[at[0]], min(64, n - 64 * p)
+        for x in at[1:]:
+            mask &= masks[x]
+        if n <= 8:
+            table = np.bincount(doc * 256 + mask, minlength=docs * 256).reshape(docs, 256)
+            return table.sum(1), table @ ((np.arange(256)[:, None] >> np.arange(n)) & 1)
+        kind = masks.dtype.type
+        found += [np.bincount(doc[(mask & kind(1 << k)) != 0], minlength=docs) for k in range(here)]
+    return np.bincount(doc, minlength=docs), np.stack(found, 1)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:

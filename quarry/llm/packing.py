@@ -123,7 +123,9 @@ def _pack(batches: Iterator[pa.RecordBatch], vocabulary: str, size: int, end_id:
 
     context = TaskContext.get()
     number = (context.partitionId() if context else 0) << 36
-    units = _units.setdefault(vocabulary, Units(vocabulary))
+    if vocabulary not in _units:
+        _units[vocabulary] = Units(vocabulary)
+    units = _units[vocabulary]
     ids: list[np.ndarray] = []
     docs: list[int | None] = []
     held = 0

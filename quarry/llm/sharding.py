@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._shared import columns_of, fresh
+
 #: The default number of slots, a prime; over a hundred for each shard keeps the shares even.
 SLOTS = 65_537
 
@@ -54,15 +56,16 @@ def slot(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(docs: DataFrame, shards: list[str], key: Column, slots: int = SLOTS, weights: list[int] | None = None, names: tuple[str, str] = ("slot", "shard")) -> DataFrame:
-    """``docs`` with the slot of ``key`` (long) and its shard, under ``names``. The broadcast table has ``slots`` rows."""
+    """``docs`` with the slot of ``key`` (long) and its shard, under ``names`` (columns of these names are replaced). The broadcast table has ``slots`` rows."""
     spark = docs.sparkSession
     table = fill(shards, slots, weights)
     # one short string for the whole table: slots are its places, so the plan holds no list of rows
-    rows = spark.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, table.tolist()))), ",")).alias("_slot", "_k"))
-    rows = rows.select("_slot", F.element_at(F.array(*map(F.lit, shards)), F.col("_k").cast("int") + 1).alias("_shard"))
-    slotted = docs.withColumn("_at", slot(key, slots))
-    joined = slotted.join(F.broadcast(rows), F.col("_at") == F.col("_slot"), "left")
-    return joined.select(*[joined[c] for c in docs.columns], F.col("_at").alias(names[0]), F.col("_shard").alias(names[1]))
+    at, place, k = fresh(docs, 3)
+    rows = spark.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, table.tolist()))), ",")).alias(place, k))
+    shard = F.element_at(F.array(*map(F.lit, shards)), F.col(k).cast("int") + 1)
+    joined = docs.withColumn(at, slot(key, slots)).join(F.broadcast(rows), F.col(at) == F.col(place), "left")
+    kept = columns_of(docs, [c for c in docs.columns if c.lower() not in {x.lower() for x in names}])
+    return joined.select(*kept, F.col(at).alias(names[0]), shard.alias(names[1]))
 
 
 def write_shards(placed: DataFrame, path: str, shard: str = "shard") -> None:

@@ -57,6 +57,18 @@ def test_many_languages_and_filters():
         rows = [(k, int(g), 10) for k, s in enumerate(sets) for g in s]
         f = language.build(names, rows, {k: 10 * len(s) for k, s in enumerate(sets)})
         for k, s in enumerate(sets):
-            m = np.bitwise_and.reduce([f.masks[x] for x in language.slots(s.astype(np.uint32))])
+            m = np.bitwise_and.reduce([f.masks[0][x] for x in language.slots(s.astype(np.uint32))])
             keep = np.array([10 / (10 * len(s)) >= language.CONTRAST * max(1 / len(t) for t in sets if g in t) for g in s])
             assert ((m >> np.uint8(k)) & 1)[keep].all()
+
+
+def test_more_than_64_languages(make):
+    import random
+
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02d}": ["".join(rng.choice(letters) for _ in range(6)) for _ in range(30)] for k in range(70)}
+    rows = [(i, " ".join(rng.choice(words[f"l{i % 70:02d}"]) for _ in range(40)), f"l{i % 70:02d}") for i in range(1400)]
+    got = language.identify(make(rows)).collect()
+    held = [r for r in got if r.held_out]
+    assert len({r.lang_pred for r in got}) == 70 and sum(r.lang_pred == f"l{r.doc_id % 70:02d}" for r in held) > 0.97 * len(held)

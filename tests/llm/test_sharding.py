@@ -56,3 +56,9 @@ def test_place(odd, nothing, spark, tmp_path):
     assert sharding.place(nothing, shards, F.xxhash64("doc_id"), 211).count() == 0
     sharding.write_shards(placed, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == odd.count()
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, 2, 3, 4, "x")], "q0 int, _at int, _slot int, Slot int, `a.b` string")
+    out = sharding.place(docs, ["a", "b"], F.xxhash64("q0"), 11)
+    assert out.columns == ["q0", "_at", "_slot", "a.b", "slot", "shard"] and out.first()[:4] == (1, 2, 3, "x")
