@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written as Parquet and read
 again for the next. All but the last return the columns of ``docs``.
+
+Defined cases, in all stages: other columns are kept as they are, whatever their names; null doc_ids stay null; an empty table gives no rows; texts are read whole.
 """
 
 from __future__ import annotations
@@ -14,27 +16,31 @@ from quarry.shipping import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the documents at hand; those without a letter, or that hardly resemble any language, go."""
+    """Learns from the documents at hand; those without a letter (null, empty and blank texts among them), or that hardly resemble any language, go. Repeated rows all stay or go."""
     ship(spark)
     return language.accepted(docs, language.fit(docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space the longest stays, then the smallest doc_id (null last); of repeated rows one. Null, empty and blank texts are one group."""
     ship(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the row of the smallest doc_id (null last) stays; of repeated rows one. Blank texts all stay."""
     ship(spark)
     return near_join.drop_near(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window like an item of the benchmark go, each row by itself; null and empty texts, and items without id or words, match nothing."""
     ship(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2,048 tokens; a null or empty text is the end id alone, repeated rows are packed each."""
     import public_tokenizers
 
     ship(spark)
