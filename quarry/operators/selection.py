@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.stats import present
+from quarry.functions.tables import cut
 
 
 def numbered(df: DataFrame, order: str | Column, name: str = "_n", by: str | None = None, buckets: int = 64) -> DataFrame:
@@ -79,39 +82,72 @@ def stratified_k_fold(df: DataFrame, key: str, y: str, k: int = 5, seed: int | N
     return x.withColumn("fold", ((_fold(F.col("_n"), F.col("_c"), k) + F.col("_s")) % k).cast("int")).select(*df.columns, "fold")
 
 
-def group_k_fold(df: DataFrame, group: str, k: int = 5, stratify: str | None = None) -> DataFrame:
-    """Whole groups to the lightest fold, the largest first (ties by group). The assignment table has a row for each group."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    rows = sizes.orderBy(F.desc("n"), group).toLocalIterator()
-    load, out = [0] * k, []
-    for r in rows:
-        f = min(range(k), key=lambda i: (load[i], i))
-        load[f] += r["n"]
-        out.append((r[0], f))
-    return df.join(df.sparkSession.createDataFrame(out, df.select(group).schema.add("fold", T.IntegerType())), group)
+def _turns(load: list[float], step: float, n: int) -> list[tuple[int, int, list[int]]]:
+    """How ``n`` equal groups are dealt, each to the fold of least load (the first of equals), which then grows by ``step``: (first, last + 1, folds that take turns).
+    Folds join the turns as the others reach their load, so there are at most as many parts as folds. ``load`` is updated."""
+    out, at = [], 0
+    while at < n:
+        least = min((v, f) for f, v in enumerate(load))
+        turn = sorted((v, f) for f, v in enumerate(load) if (v, f) < (least[0] + step, least[1]))
+        rounds = -(-(n - at) // len(turn))
+        for f, v in enumerate(load):
+            if (v, f) not in turn:
+                wait = max(1, int((v - least[0]) // step) - 1)
+                while (v, f) >= (least[0] + (wait + 1) * step, least[1]):
+                    wait += 1
+                rounds = min(rounds, wait)
+        end = min(n, at + rounds * len(turn))
+        out.append((at, end, [f for _, f in turn]))
+        for j, (_, f) in enumerate(turn):
+            load[f] += step * ((end - at - j + len(turn) - 1) // len(turn))
+        at = end
+    return out
+
+
+def _dealt(df: DataFrame, groups: DataFrame, group: str, parts: list[tuple]) -> DataFrame:
+    """``df`` with ``fold``: ``groups`` (a row each) of one kind are numbered in their order, and ``parts`` (kind, first, last + 1, folds) say where they go."""
+    table = df.sparkSession.createDataFrame(parts, "_kind long, _a long, _e long, _folds array<int>")
+    place = numbered(groups, group, by="_kind")
+    found = place.join(F.broadcast(table), (place["_kind"] == table["_kind"]) & (F.col("_n") >= F.col("_a")) & (F.col("_n") < F.col("_e")))
+    fold = F.element_at("_folds", (F.pmod(F.col("_n") - F.col("_a"), F.size("_folds")) + 1).cast("int")).alias("fold")
+    return df.join(found.select(F.col(group), fold), group)
+
+
+def group_k_fold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
+    """Whole groups (numeric keys) to the lightest fold, the largest first (ties by group). The driver gets a row for each distinct *size* of a group; groups of one size are
+    numbered in Spark and take turns."""
+    sizes = cut(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_kind")))
+    load, parts = [0] * k, []
+    for n, c in sorted(((r[0], r[1]) for r in sizes.groupBy("_kind").count().collect()), reverse=True):
+        parts += [(n, a, e, f) for a, e, f in _turns(load, n, c)]
+    return _dealt(df, sizes, group, parts)
+
+
+def _least_deviation(batches: Iterator[pa.RecordBatch], k: int, share: list[float]) -> Iterator[pa.RecordBatch]:
+    load = np.zeros((k, len(share))) - share
+    for batch in batches:
+        counts = np.stack([c.to_numpy() for c in batch.columns[1:]], 1).astype(float)
+        folds = []
+        for c in counts:
+            f = int(((load + c) ** 2).sum(1).argmin())
+            load[f] += c
+            folds.append(f)
+        yield pa.record_batch([batch.column(0), pa.array(folds, pa.int32())], names=["_g", "fold"])
 
 
 def stratified_group_k_fold(df: DataFrame, group: str, y: str, k: int = 5) -> DataFrame:
-    """Whole groups to the fold where class counts stay the most even."""
+    """Whole groups, the largest first (ties by group), to the fold whose class counts then have the least squared deviation from an even share, the first of equals.
+
+    Each choice depends on all before, so the groups' counts (a row each) stream in order through one task, which holds the folds' counts only; nothing is collected."""
     classes = sorted(r[0] for r in df.select(y).distinct().collect())
-    table = df.groupBy(group).pivot(y, classes).count().na.fill(0)
-    rows = sorted(((r[0], list(r[1:])) for r in table.toLocalIterator()), key=lambda r: (-max(r[1]), r[0]))
-    load, out = [[0] * len(classes) for _ in range(k)], []
-    total = [max(1, sum(c[i] for _, c in rows)) for i in range(len(classes))]
-
-    def spread(f: int, c: list[int]) -> float:
-        dev = 0.0
-        for i in range(len(classes)):
-            share = [(load[j][i] + (c[i] if j == f else 0)) / total[i] for j in range(k)]
-            m = sum(share) / k
-            dev += (sum((s - m) ** 2 for s in share) / k) ** 0.5
-        return dev
-
-    for g, c in rows:
-        f = min(range(k), key=lambda i: (spread(i, c), sum(load[i]), i))
-        load[f] = [a + b for a, b in zip(load[f], c, strict=True)]
-        out.append((g, f))
-    return df.join(df.sparkSession.createDataFrame(out, df.select(group).schema.add("fold", T.IntegerType())), group)
+    names = [f"_c{i}" for i in range(len(classes))]
+    table = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_g")).agg(*[F.count_if(F.col(y).eqNullSafe(F.lit(c))).alias(n) for n, c in zip(names, classes, strict=True)])
+    table = cut(table)
+    total = table.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in names]).first()
+    size = reduce(lambda a, b: a + b, [F.col(n) for n in names])
+    kind = T.StructType([T.StructField("_g", table.schema["_g"].dataType), T.StructField("fold", T.IntegerType())])
+    folds = table.repartition(1).sortWithinPartitions(size.desc(), "_g").mapInArrow(partial(_least_deviation, k=k, share=[t / k for t in total]), kind)
+    return df.join(folds, F.col(group) == F.col("_g")).select(*df.columns, "fold")
 
 
 def train_test_split(df: DataFrame, key: str, test_size: float = 0.25, seed: int = 0) -> DataFrame:

@@ -38,6 +38,29 @@ COV = "SELECT {e}(a, a) AS aa, {e}(a, b) AS ab, {e}(b, b) AS bb, count(*)::DOUBL
 CELLS = "SELECT 0 AS i, 0 AS j, round({aa}, 5) AS value FROM m UNION ALL SELECT 0, 1, round({ab}, 5) FROM m UNION ALL SELECT 1, 0, round({ab}, 5) FROM m UNION ALL SELECT 1, 1, round({bb}, 5) FROM m"
 
 
+def newton(cells: str, weights: str, matrix: list[str], right: list[str], new: str, rounds: int = 40, first: str = "0.0::DOUBLE") -> str:
+    """SQL of rounds w = ``new`` with {x} the solution of a symmetric system of three unknowns (Cramer's rule), whose sums are over ``cells`` with the columns ``weights``."""
+    h = dict(zip(("h00", "h01", "h02", "h11", "h12", "h22"), matrix, strict=True)) | dict(zip(("g0", "g1", "g2"), right, strict=True))
+    sums = ", ".join(f"{e} AS {k}" for k, e in h.items())
+    c = {"c00": "h11 * h22 - h12 * h12", "c01": "h02 * h12 - h01 * h22", "c02": "h01 * h12 - h02 * h11", "c11": "h00 * h22 - h02 * h02", "c12": "h01 * h02 - h00 * h12", "c22": "h00 * h11 - h01 * h01"}
+    x = [f"(c0{k} * g0 + {f'c1{k}' if k else 'c01'} * g1 + {f'c2{k}' if k == 2 else f'c{k}2'} * g2) / (h00 * c00 + h01 * c01 + h02 * c02)" for k in range(3)]
+    step = ", ".join(new.format(w=w, x=e) for w, e in zip(("w0", "wa", "wb"), x, strict=True))
+    return f"""WITH RECURSIVE {DATA}, z AS ({cells}), r AS (SELECT 0 AS it, {first} AS w0, {first} AS wa, {first} AS wb UNION ALL SELECT it + 1, {step} FROM (SELECT *, {", ".join(f"{e} AS {k}" for k, e in c.items())}
+FROM (SELECT it, w0, wa, wb, {sums} FROM (SELECT *, {weights} FROM r, z WHERE it < {rounds}) GROUP BY it, w0, wa, wb)))
+SELECT 'a' AS term, round(wa, 5) AS value FROM r WHERE it = {rounds} UNION ALL SELECT 'b', round(wb, 5) FROM r WHERE it = {rounds} UNION ALL SELECT 'intercept', round(w0, 5) FROM r WHERE it = {rounds}"""
+
+
+def squares(weight: str, aim: str, ridge: tuple[str, str, str], scale: str = "1") -> tuple[list[str], list[str]]:
+    """Weighted normal equations of (1, a, b), with additions to the diagonal."""
+    s = lambda e: f"{scale} * sum({weight} * {e})"
+    return [s("1") + f" + {ridge[0]}", s("a"), s("b"), s("a * a") + f" + {ridge[1]}", s("a * b"), s("b * b") + f" + {ridge[2]}"], [s(aim), s(f"({aim}) * a"), s(f"({aim}) * b")]
+
+
+def glm_sql(power: float, alpha: float) -> str:
+    mu = "CASE WHEN it = 0 THEN ln(y) ELSE greatest(-20, least(20, w0 + wa * a + wb * b)) END"
+    return newton("SELECT a, b, greatest(y, 1e-10) AS y FROM t", f"{mu} AS eta, exp(eta) AS mu, exp(eta * {2 - power}) AS q", *squares("q", "(eta + (y - mu) / mu)", (str(alpha),) * 3), "{x}", 25)
+
+
 def predicted(model):
     def f(s, d):
         x = data(s, d)
@@ -62,18 +85,22 @@ QUERIES = {
     "lasso_lars": (coefficients(lambda x: L.lasso_lars(L.gram(x, ["a"], ["y"]), 0.5)), f"WITH {DATA}, w AS (SELECT sign(covar_pop(a, y)) * greatest(abs(covar_pop(a, y)) - 0.5, 0) / var_pop(a) AS w, avg(a) AS ma, avg(y) AS my FROM t) SELECT 'a' AS term, round(w, 5) AS value FROM w UNION ALL SELECT 'intercept', round(my - w * ma, 5) FROM w"),
     "huber_regressor": (coefficients(lambda x: L.huber(x, XS, "y")), None),
     "quantile_regressor": (coefficients(lambda x: L.quantile_regression(x, XS, "y", 0.5, 0.0, 20)), None),
-    "poisson_regressor": (coefficients(lambda x: L.glm(x, XS, "y", "poisson", 0.0)), None),
-    "gamma_regressor": (coefficients(lambda x: L.glm(x, XS, "y", "gamma", 1.0)), None),
-    "tweedie_regressor": (coefficients(lambda x: L.glm(x, XS, "y", "tweedie", 1.0)), None),
-    "logistic_regression": (coefficients(lambda x: L.logistic(x, XS, "s")), None),
-    "linear_svc": (coefficients(lambda x: L.linear_svc(x, XS, "s")), None),
-    "linear_svr": (coefficients(lambda x: L.linear_svr(x, XS, "y")), None),
-    "ridge_classifier": (predicted(lambda x: L.ridge_classifier(x, XS, "c").predict()), None),
-    "lda": (predicted(lambda x: L.lda(x, XS, "c").predict()), None),
+    "poisson_regressor": (coefficients(lambda x: L.glm(x, XS, "y", "poisson", 0.0)), glm_sql(1.0, 0.0)),
+    "gamma_regressor": (coefficients(lambda x: L.glm(x, XS, "y", "gamma", 1.0)), glm_sql(2.0, 1.0)),
+    "tweedie_regressor": (coefficients(lambda x: L.glm(x, XS, "y", "tweedie", 1.0)), glm_sql(1.5, 1.0)),
+    "logistic_regression": (coefficients(lambda x: L.logistic(x, XS, "s")), newton("SELECT a, b, s, count(*) AS n, (SELECT count(*) FROM t) AS m FROM t GROUP BY ALL", "1 / (1 + exp(-(w0 + wa * a + wb * b))) AS p", squares("n * p * (1 - p) / m", "0", ("0", "1", "1"))[0], ["sum(n * (p - s) / m)", "sum(n * (p - s) / m * a) + wa", "sum(n * (p - s) / m * b) + wb"], "{w} - {x}")),
+    "linear_svc": (coefficients(lambda x: L.linear_svc(x, XS, "s")), newton("SELECT a, b, 2 * s - 1 AS s, count(*) AS n, (SELECT count(*) FROM t) AS m FROM t GROUP BY ALL", "CASE WHEN 1 - s * (w0 + wa * a + wb * b) > 0 THEN n / m ELSE 0 END AS q", *squares("q", "s", ("0", "1", "1"), "2"), "{x}")),
+    "linear_svr": (coefficients(lambda x: L.linear_svr(x, XS, "y")), newton("SELECT a, b, y, 1 / (SELECT count(*) FROM t) AS n FROM t", "y - w0 - wa * a - wb * b AS e, CASE WHEN abs(e) > 0.1 THEN n ELSE 0 END AS q", *squares("q", "(y - sign(e) * 0.1)", ("0", "1", "1"), "2"), "{x}", 30)),
+    "ridge_classifier": (predicted(lambda x: L.ridge_classifier(x, XS, "c").predict()), f"""WITH {DATA}, q AS (SELECT k.c AS p, a, b, CASE WHEN t.c = k.c THEN 1.0 ELSE -1.0 END::DOUBLE AS y FROM t, (SELECT DISTINCT c FROM t) k), g AS (SELECT p, count(*) * var_pop(a) + 1 AS aa, count(*) * var_pop(b) + 1 AS bb, count(*) * covar_pop(a, b) AS ab, count(*) * covar_pop(a, y) AS ay, count(*) * covar_pop(b, y) AS yb, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM q GROUP BY p),
+k AS (SELECT a, b, c, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT k.*, p, my + (a - ma) * (ay * bb - yb * ab) / (aa * bb - ab * ab) + (b - mb) * (yb * aa - ay * ab) / (aa * bb - ab * ab) AS z FROM k, g) SELECT c, p, sum(n)::BIGINT AS n FROM (FROM r QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY z DESC, p) = 1) GROUP BY 1, 2"""),
+    "lda": (predicted(lambda x: L.lda(x, XS, "c").predict()), f"""WITH {DATA}, g AS (SELECT c, avg(a) AS ma, avg(b) AS mb, count(*) AS n, sum(a * a) - count(*) * avg(a) ** 2 AS aa, sum(b * b) - count(*) * avg(b) ** 2 AS bb, sum(a * b) - count(*) * avg(a) * avg(b) AS ab FROM t GROUP BY c),
+v AS (SELECT sum(aa) / (sum(n) - count(*)) AS va, sum(bb) / (sum(n) - count(*)) AS vb, sum(ab) / (sum(n) - count(*)) AS w, sum(n) AS total FROM g), k AS (SELECT a, b, c, count(*) AS n FROM t GROUP BY ALL),
+r AS (SELECT k.*, g.c AS p, -0.5 * ((a - ma) ** 2 * vb - 2 * (a - ma) * (b - mb) * w + (b - mb) ** 2 * va) / (va * vb - w * w) + ln(g.n / total) AS z FROM k, g, v) SELECT c, p, sum(n)::BIGINT AS n FROM (FROM r QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY z DESC, p) = 1) GROUP BY 1, 2"""),
     "qda": (predicted(lambda x: L.qda(x, XS, "c").predict()), f"""WITH {DATA}, g AS (SELECT c, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS ab, count(*) / (SELECT count(*) FROM t) AS p FROM t GROUP BY c),
 r AS (SELECT a, b, t.c, g.c AS p, -0.5 * ln(va * vb - ab * ab) - 0.5 * ((a - ma) ** 2 * vb - 2 * (a - ma) * (b - mb) * ab + (b - mb) ** 2 * va) / (va * vb - ab * ab) + ln(p) AS z FROM (SELECT a, b, c, count(*) AS n FROM t GROUP BY ALL) t, g),
 q AS (SELECT a, b, c, p FROM r QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY z DESC, p) = 1) SELECT c, p, sum(n)::BIGINT AS n FROM q JOIN (SELECT a, b, c, count(*) AS n FROM t GROUP BY ALL) USING (a, b, c) GROUP BY 1, 2"""),
-    "isotonic_regression": (lambda s, d: rounded(L.isotonic(x := data(s, d), "a", "y").transform(x.select("a").distinct()), 4), None),
+    "isotonic_regression": (lambda s, d: rounded(L.isotonic(x := data(s, d), "a", "y").transform(x.select("a").distinct()), 4), f"""WITH {DATA}, v AS (SELECT a, count(*) AS n, sum(y) AS s, row_number() OVER (ORDER BY a) AS i FROM t GROUP BY a), m AS (SELECT x.i, z.i AS j, (SELECT sum(s) / sum(n) FROM v q WHERE q.i BETWEEN x.i AND z.i) AS mean FROM v x JOIN v z ON x.i <= z.i),
+k AS (SELECT w.a, m.i, min(m.mean) AS low FROM v w JOIN m ON m.i <= w.i AND m.j >= w.i GROUP BY 1, 2) SELECT round(a, 4) AS a, round(max(low), 4) AS prediction FROM k GROUP BY a"""),
     "empirical_covariance": (lambda s, d: matrix(s, L.covariance(L.gram(data(s, d), XS, []))), f"WITH {DATA}, m AS ({COV.format(e='covar_pop')}) " + CELLS.format(aa="aa", ab="ab", bb="bb")),
     "shrunk_covariance": (lambda s, d: matrix(s, L.shrunk_covariance(L.covariance(L.gram(data(s, d), XS, [])), 0.1)), f"WITH {DATA}, m AS ({COV.format(e='covar_pop')}) " + CELLS.format(aa="0.9 * aa + 0.05 * (aa + bb)", ab="0.9 * ab", bb="0.9 * bb + 0.05 * (aa + bb)")),
     "ledoit_wolf": (lambda s, d: matrix(s, L.ledoit_wolf(data(s, d), XS)[0]), f"""WITH {DATA}, z AS ({COV.format(e='covar_pop')}), f AS (SELECT avg(((a - x) ** 2 + (b - y2) ** 2) ** 2) AS q FROM t, (SELECT avg(a) AS x, avg(b) AS y2 FROM t)),
