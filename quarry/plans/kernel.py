@@ -8,7 +8,7 @@ from quarry.functions.stats import rounded
 from quarry.operators import kernel_models as K
 from quarry.operators import linear as L
 from quarry.operators import preprocess as P
-from quarry.plans.linear import DATA, XS
+from quarry.plans.linear import DATA, PAIRS, REST, XS
 from quarry.plans.linear import data as rows
 from quarry.plans.metrics import _t
 
@@ -62,11 +62,11 @@ q AS (SELECT a.e + (h - floor(h)) * (b.e - a.e) AS q FROM h JOIN r a ON a.r = fl
 WITH t AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal / 1000 END AS a, CASE WHEN s_suppkey % 5 <> 0 THEN s_nationkey::DOUBLE END AS b FROM supplier), p AS (SELECT x.s_suppkey, y.s_suppkey AS j, coalesce((x.a - y.a) ** 2, 0) + coalesce((x.b - y.b) ** 2, 0) AS d, y.a, y.b FROM t x JOIN t y ON x.s_suppkey <> y.s_suppkey WHERE x.a IS NULL OR x.b IS NULL),
 fa AS (SELECT s_suppkey, avg(a) AS f FROM (SELECT * FROM p WHERE a IS NOT NULL QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY d, j) <= 3) GROUP BY 1), fb AS (SELECT s_suppkey, avg(b) AS f FROM (SELECT * FROM p WHERE b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY d, j) <= 3) GROUP BY 1)
 SELECT t.s_suppkey, round(coalesce(t.a, fa.f), 6) AS a, round(coalesce(t.b, fb.f), 6) AS b FROM t LEFT JOIN fa USING (s_suppkey) LEFT JOIN fb USING (s_suppkey)"""),
-    "nmf": (lambda s, d: rounded(s.createDataFrame([tuple(map(float, r)) for r in K.nmf(_t(s, d, "lineitem").select("l_quantity", "l_linenumber"), ["l_quantity", "l_linenumber"], 1, 10)], "a double, b double").select((F.col("b") / F.col("a")).alias("ratio")), 3), None),
+    "nmf": (lambda s, d: rounded(s.createDataFrame([tuple(map(float, r)) for r in K.nmf(_t(s, d, "lineitem").select("l_quantity", "l_linenumber"), ["l_quantity", "l_linenumber"], 1, 10)], "a double, b double").select((F.col("b") / F.col("a")).alias("ratio")), 3), "SELECT round(((aa + bb) / 2 + sqrt(((aa - bb) / 2) ** 2 + ab * ab) - aa) / ab, 3) AS ratio FROM (SELECT sum(l_quantity * l_quantity)::DOUBLE AS aa, sum(l_quantity * l_linenumber)::DOUBLE AS ab, sum(l_linenumber * l_linenumber)::DOUBLE AS bb FROM lineitem)"),
     "fast_ica": (lambda s, d: rounded(s.createDataFrame([(float(abs(v)),) for v in K.fast_ica(part(s, d), ["a", "b"], 2, 10)[1]], "mean double"), 4), "SELECT round(abs(avg((p_size - 25) / 15)), 4) AS mean FROM part UNION ALL SELECT round(abs(avg((p_retailprice - 950) / 30)), 4) FROM part"),
     "elliptic_envelope": (lambda s, d: (x := part(s, d)).withColumn("p", K.elliptic_envelope(x, ["a", "b"])).groupBy("p").agg(F.count("*").alias("n")), None),
-    "one_vs_one": (lambda s, d: (x := rows(s, d)).withColumn("p", K.one_vs_one(x, "c", lambda y, t: L.ols(L.gram(y, XS, [t])).predict() - 0.5)).groupBy("c", "p").agg(F.count("*").alias("n")), None),
-    "one_vs_rest": (lambda s, d: (x := rows(s, d)).withColumn("p", L.one_vs_rest(x, "c", lambda y, t: L.ols(L.gram(y, XS, [t]))).predict()).groupBy("c", "p").agg(F.count("*").alias("n")), None),
+    "one_vs_one": (lambda s, d: (x := rows(s, d)).withColumn("p", K.one_vs_one(x, "c", lambda y, t: L.ols(L.gram(y, XS, [t])).predict() - 0.5)).groupBy("c", "p").agg(F.count("*").alias("n")), PAIRS),
+    "one_vs_rest": (lambda s, d: (x := rows(s, d)).withColumn("p", L.one_vs_rest(x, "c", lambda y, t: L.ols(L.gram(y, XS, [t]))).predict()).groupBy("c", "p").agg(F.count("*").alias("n")), REST),
     "transformed_target": (lambda s, d: mse(x := rows(s, d), K.transformed_target(x, "y", lambda y, t: L.ols(L.gram(y, XS, [t])).predict(), lambda v: v * 2, lambda v: v / 2)), f"{OLS} SELECT round(avg(e * e), 3) AS mse FROM e"),
     "self_training": (lambda s, d: rounded((x := rows(s, d).withColumn("l", F.when(F.col("f") == 0, F.col("s").cast("double")))).withColumn("p", K.self_training(x, "l", lambda y, t: L.probability(L.logistic(y, XS, t)), 0.75, 2)).agg(F.count("p").alias("n"))), "SELECT count(*) AS n FROM lineitem"),
     "ransac": (lambda s, d: mse(x := rows(s, d).withColumn("id", F.xxhash64("a", "b", "y", "f")), K.ransac(x, XS, "y", "id", 5).predict()), None),

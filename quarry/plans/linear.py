@@ -22,9 +22,9 @@ def matrix(s, m, digits=5):
     return rounded(s.createDataFrame([(i, j, float(m[i, j])) for i in range(len(m)) for j in range(len(m))], "i int, j int, value double"), digits)
 
 
-def coefficients(model):
+def coefficients(model, digits=5):
     """A query that gives the terms of ``model(df)``."""
-    return lambda s, d: rounded(model(x := data(s, d)).table(x), 5)
+    return lambda s, d: rounded(model(x := data(s, d)).table(x), digits)
 
 
 def solved(alpha: str) -> str:
@@ -61,6 +61,42 @@ def glm_sql(power: float, alpha: float) -> str:
     return newton("SELECT a, b, greatest(y, 1e-10) AS y FROM t", f"{mu} AS eta, exp(eta) AS mu, exp(eta * {2 - power}) AS q", *squares("q", "(eta + (y - mu) / mu)", (str(alpha),) * 3), "{x}", 25)
 
 
+#: Products of deviations, means and the number of rows; least squares from them.
+SUMS = "SELECT count(*) * var_pop(a) AS aa, count(*) * var_pop(b) AS bb, count(*) * covar_pop(a, b) AS ab, count(*) * covar_pop(a, y) AS ay, count(*) * covar_pop(b, y) AS yb, count(*) * var_pop(y) AS yy, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM t"
+TERMS = "SELECT 'a' AS term, round(wa, 5) AS value FROM last UNION ALL SELECT 'b', round(wb, 5) FROM last UNION ALL SELECT 'intercept', round(my - wa * ma - wb * mb, 5) FROM last, g"
+
+
+def reweighted(weight: str, ridge: str, rounds: int) -> str:
+    """SQL of least squares on deviations by rounds of weights of the residual e, from ridge at first, until no weight moves by 1e-5."""
+    solve = "(ay * (bb + {r}) - yb * ab) / ((aa + {r}) * (bb + {r}) - ab * ab) AS {a}, (yb * (aa + {r}) - ay * ab) / ((aa + {r}) * (bb + {r}) - ab * ab) AS {b}"
+    return f"""WITH RECURSIVE {DATA}, g AS ({SUMS}), c AS (SELECT a - ma AS a, b - mb AS b, y - my AS y FROM t, g), r AS (SELECT 0 AS it, {solve.format(r=ridge, a="wa", b="wb")}, 1e9::DOUBLE AS d FROM g
+UNION ALL SELECT it + 1, na, nb, greatest(abs(na - wa), abs(nb - wb)) FROM (SELECT it, wa, wb, {solve.format(r=ridge, a="na", b="nb")} FROM (SELECT it, wa, wb, sum(q * a * a) AS aa, sum(q * b * b) AS bb, sum(q * a * b) AS ab, sum(q * a * y) AS ay, sum(q * b * y) AS yb
+FROM (SELECT *, {weight} AS q FROM (SELECT *, y - wa * a - wb * b AS e FROM r, c WHERE d >= 1e-5 AND it < {rounds})) GROUP BY it, wa, wb))), last AS (SELECT * FROM r WHERE it = (SELECT max(it) FROM r)) """ + TERMS
+
+
+#: Rounds of the evidence: q is the ratio of the precisions; the answer is that of the first round that moves the weights by less than 1e-3 in all.
+EVIDENCE = f"""WITH RECURSIVE {DATA}, g AS ({SUMS}), r AS (SELECT 0 AS it, 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb, 1.0::DOUBLE AS lam, 1.0::DOUBLE AS alpha, 1e9::DOUBLE AS d
+UNION ALL SELECT it + 1, na, nb, gamma / (na * na + nb * nb), (n - gamma) / (yy - 2 * (na * ay + nb * yb) + na * na * aa + 2 * na * nb * ab + nb * nb * bb), abs(na - wa) + abs(nb - wb)
+FROM (SELECT *, (ay * (bb + q) - yb * ab) / det AS na, (yb * (aa + q) - ay * ab) / det AS nb, 2 - q * (aa + bb + 2 * q) / det AS gamma FROM (SELECT *, (aa + q) * (bb + q) - ab * ab AS det FROM (SELECT *, lam / alpha AS q FROM r, g WHERE d >= 1e-3 AND it < 300)))), last AS (SELECT * FROM r WHERE it = (SELECT max(it) FROM r)) """ + TERMS
+#: The same with a precision for each weight.
+RELEVANCE = f"""WITH RECURSIVE {DATA}, g AS ({SUMS}), r AS (SELECT 0 AS it, 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb, 1.0::DOUBLE AS la, 1.0::DOUBLE AS lb, n / yy AS alpha, 1e9::DOUBLE AS d FROM g
+UNION ALL SELECT it + 1, na, nb, (ga + 2e-6) / (na * na + 2e-6), (gb + 2e-6) / (nb * nb + 2e-6), (n - ga - gb + 2e-6) / (yy - 2 * (na * ay + nb * yb) + na * na * aa + 2 * na * nb * ab + nb * nb * bb + 2e-6), abs(na - wa) + abs(nb - wb)
+FROM (SELECT *, alpha * (ay * hb - yb * alpha * ab) / det AS na, alpha * (yb * ha - ay * alpha * ab) / det AS nb, 1 - la * hb / det AS ga, 1 - lb * ha / det AS gb FROM (SELECT *, ha * hb - alpha * alpha * ab * ab AS det FROM (SELECT *, la + alpha * aa AS ha, lb + alpha * bb AS hb FROM r, g WHERE d >= 1e-3 AND it < 300)))), last AS (SELECT * FROM r WHERE it = (SELECT max(it) FROM r)) """ + TERMS
+#: Ridge of three alphas on all folds but one, judged on that one.
+FOLDS = f"""WITH {DATA}, g AS ({SUMS}), m AS (SELECT f, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(y) AS y, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS yb, sum(y * y) AS yy FROM t GROUP BY f),
+o AS (SELECT x.f, sum(z.n) AS n, sum(z.a) / sum(z.n) AS ma, sum(z.b) / sum(z.n) AS mb, sum(z.y) / sum(z.n) AS my, sum(z.aa) - sum(z.a) ** 2 / sum(z.n) AS aa, sum(z.bb) - sum(z.b) ** 2 / sum(z.n) AS bb, sum(z.ab) - sum(z.a) * sum(z.b) / sum(z.n) AS ab, sum(z.ay) - sum(z.a) * sum(z.y) / sum(z.n) AS ay, sum(z.yb) - sum(z.b) * sum(z.y) / sum(z.n) AS yb FROM m x JOIN m z ON x.f <> z.f GROUP BY 1),
+w AS (SELECT f, alpha, ma, mb, my, (ay * (bb + alpha) - yb * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wa, (yb * (aa + alpha) - ay * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wb FROM o, (VALUES (0.1::DOUBLE), (1.0), (10.0)) v(alpha)),
+e AS (SELECT alpha, (m.yy - 2 * (i * m.y + wa * m.ay + wb * m.yb) + i * i * n + 2 * i * (wa * m.a + wb * m.b) + wa * wa * m.aa + 2 * wa * wb * m.ab + wb * wb * m.bb) / n AS mse FROM m JOIN (SELECT *, my - wa * ma - wb * mb AS i FROM w) USING (f)),
+k AS (SELECT alpha FROM e GROUP BY 1 ORDER BY avg(mse), alpha LIMIT 1), last AS (SELECT (ay * (bb + alpha) - yb * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wa, (yb * (aa + alpha) - ay * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wb FROM g, k) """ + TERMS
+#: The class with the largest least-squares score of its indicator.
+REST = f"""WITH {DATA}, q AS (SELECT k.c AS p, a, b, (t.c = k.c)::INT::DOUBLE AS y FROM t, (SELECT DISTINCT c FROM t) k), g AS (SELECT p, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM q GROUP BY p),
+k AS (SELECT a, b, c, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT k.*, p, my + (a - ma) * (ay * bb - yb * ab) / (aa * bb - ab * ab) + (b - mb) * (yb * aa - ay * ab) / (aa * bb - ab * ab) AS z FROM k, g) SELECT c, p, sum(n)::BIGINT AS n FROM (FROM r QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY z DESC, p) = 1) GROUP BY 1, 2"""
+#: Votes of least squares for each pair of classes.
+PAIRS = f"""WITH {DATA}, q AS (SELECT u.c AS u, v.c AS v, a, b, (t.c = v.c)::INT::DOUBLE AS y FROM (SELECT DISTINCT c FROM t) u JOIN (SELECT DISTINCT c FROM t) v ON u.c < v.c JOIN t ON t.c IN (u.c, v.c)), g AS (SELECT u, v, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM q GROUP BY 1, 2),
+k AS (SELECT a, b, c, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT k.*, CASE WHEN my - 0.5 + (a - ma) * (ay * bb - yb * ab) / (aa * bb - ab * ab) + (b - mb) * (yb * aa - ay * ab) / (aa * bb - ab * ab) > 0 THEN v ELSE u END AS p FROM k, g),
+h AS (SELECT a, b, c, n, p, count(*) AS votes FROM r GROUP BY ALL) SELECT c, p, sum(n)::BIGINT AS n FROM (FROM h QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY votes DESC, p) = 1) GROUP BY 1, 2"""
+
+
 def predicted(model):
     def f(s, d):
         x = data(s, d)
@@ -73,18 +109,18 @@ QUERIES = {
     "linear_regression": (coefficients(lambda x: L.ols(L.gram(x, XS, ["y"]))), solved("0")),
     "linear_regression_1d": (coefficients(lambda x: L.ols(L.gram(x, ["a"], ["y"]))), f"WITH {DATA} SELECT 'a' AS term, round(regr_slope(y, a), 5) AS value FROM t UNION ALL SELECT 'intercept', round(regr_intercept(y, a), 5) FROM t"),
     "ridge": (coefficients(lambda x: L.ridge(L.gram(x, XS, ["y"]), 100.0)), solved("100")),
-    "ridge_cv": (coefficients(lambda x: L.ridge_cv(x, XS, "y", "f")[0]), None),
+    "ridge_cv": (coefficients(lambda x: L.ridge_cv(x, XS, "y", "f")[0]), FOLDS),
     "lasso": (coefficients(lambda x: L.lasso(L.gram(x, ["a"], ["y"]), 0.5)), f"WITH {DATA}, w AS (SELECT sign(covar_pop(a, y)) * greatest(abs(covar_pop(a, y)) - 0.5, 0) / var_pop(a) AS w, avg(a) AS ma, avg(y) AS my FROM t) SELECT 'a' AS term, round(w, 5) AS value FROM w UNION ALL SELECT 'intercept', round(my - w * ma, 5) FROM w"),
     "elastic_net": (coefficients(lambda x: L.elastic_net(L.gram(x, ["a"], ["y"]), 0.4, 0.25)), f"WITH {DATA}, w AS (SELECT sign(covar_pop(a, y)) * greatest(abs(covar_pop(a, y)) - 0.1, 0) / (var_pop(a) + 0.3) AS w, avg(a) AS ma, avg(y) AS my FROM t) SELECT 'a' AS term, round(w, 5) AS value FROM w UNION ALL SELECT 'intercept', round(my - w * ma, 5) FROM w"),
     "lasso_cv": (coefficients(lambda x: L.lasso_cv(x, XS, "y", "f", n_alphas=20)[0]), None),
     "elastic_net_cv": (coefficients(lambda x: L.elastic_net_cv(x, XS, "y", "f")[0]), None),
-    "bayesian_ridge": (coefficients(lambda x: L.bayesian_ridge(L.gram(x, XS, ["y"]))), None),
-    "ard_regression": (coefficients(lambda x: L.ard(L.gram(x, XS, ["y"]))), None),
+    "bayesian_ridge": (coefficients(lambda x: L.bayesian_ridge(L.gram(x, XS, ["y"]))), EVIDENCE),
+    "ard_regression": (coefficients(lambda x: L.ard(L.gram(x, XS, ["y"]))), RELEVANCE),
     "orthogonal_matching_pursuit": (coefficients(lambda x: L.omp(L.gram(x, XS, ["y"]), 2)), solved("0")),
-    "lars": (coefficients(lambda x: L.lars(L.gram(x, XS, ["y"]))), None),
+    "lars": (coefficients(lambda x: L.lars(L.gram(x, XS, ["y"]))), solved("0")),
     "lasso_lars": (coefficients(lambda x: L.lasso_lars(L.gram(x, ["a"], ["y"]), 0.5)), f"WITH {DATA}, w AS (SELECT sign(covar_pop(a, y)) * greatest(abs(covar_pop(a, y)) - 0.5, 0) / var_pop(a) AS w, avg(a) AS ma, avg(y) AS my FROM t) SELECT 'a' AS term, round(w, 5) AS value FROM w UNION ALL SELECT 'intercept', round(my - w * ma, 5) FROM w"),
-    "huber_regressor": (coefficients(lambda x: L.huber(x, XS, "y")), None),
-    "quantile_regressor": (coefficients(lambda x: L.quantile_regression(x, XS, "y", 0.5, 0.0, 20)), None),
+    "huber_regressor": (coefficients(lambda x: L.huber(x, XS, "y")), reweighted("CASE WHEN abs(e) <= 1.35 THEN 1 ELSE 1.35 / abs(e) END", "1e-4", 100)),
+    "quantile_regressor": (coefficients(lambda x: L.quantile_regression(x, XS, "y", 0.5, 0.0, 20), 3), reweighted("0.5 / greatest(abs(e), 1e-6)", "0", 20).replace(", 5)", ", 3)")),
     "poisson_regressor": (coefficients(lambda x: L.glm(x, XS, "y", "poisson", 0.0)), glm_sql(1.0, 0.0)),
     "gamma_regressor": (coefficients(lambda x: L.glm(x, XS, "y", "gamma", 1.0)), glm_sql(2.0, 1.0)),
     "tweedie_regressor": (coefficients(lambda x: L.glm(x, XS, "y", "tweedie", 1.0)), glm_sql(1.5, 1.0)),
@@ -110,7 +146,8 @@ k AS (SELECT *, (aa + bb) / 2 AS mu, (q - (aa * aa + 2 * ab * ab + bb * bb)) / (
     "pca": (lambda s, d: rounded(L.pca(L.gram(x := data(s, d), XS, []), 2).transform(x.select("a", "b").distinct()), 4), f"""WITH {DATA}, z AS ({COV.format(e='covar_samp')}), e AS (SELECT *, (aa + bb) / 2 + sqrt(((aa - bb) / 2) ** 2 + ab * ab) AS l1, (aa + bb) / 2 - sqrt(((aa - bb) / 2) ** 2 + ab * ab) AS l2 FROM z),
 v AS (SELECT l1 - bb AS p, ab AS q, l2 - bb AS p2, ab AS q2, avg_a, avg_b FROM e, (SELECT avg(a) AS avg_a, avg(b) AS avg_b FROM t)), u AS (SELECT avg_a, avg_b, p * s1 / n1 AS p, q * s1 / n1 AS q, p2 * s2 / n2 AS p2, q2 * s2 / n2 AS q2 FROM (SELECT *, sqrt(p * p + q * q) AS n1, sqrt(p2 * p2 + q2 * q2) AS n2, CASE WHEN abs(p) >= abs(q) THEN sign(p) ELSE sign(q) END AS s1, CASE WHEN abs(p2) >= abs(q2) THEN sign(p2) ELSE sign(q2) END AS s2 FROM v))
 SELECT round(a, 4) AS a, round(b, 4) AS b, round((a - avg_a) * p + (b - avg_b) * q, 4) AS pc0, round((a - avg_a) * p2 + (b - avg_b) * q2, 4) AS pc1 FROM (SELECT DISTINCT a, b FROM t), u"""),
-    "truncated_svd": (lambda s, d: rounded(L.truncated_svd(L.gram(x := data(s, d), XS, []), 1).transform(x.select("a", "b").distinct()), 4), None),
+    "truncated_svd": (lambda s, d: rounded(L.truncated_svd(L.gram(x := data(s, d), XS, []), 1).transform(x.select("a", "b").distinct()), 4), f"""WITH {DATA}, z AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM t), e AS (SELECT (aa + bb) / 2 + sqrt(((aa - bb) / 2) ** 2 + ab * ab) - bb AS p, ab AS q FROM z), u AS (SELECT p * k AS p, q * k AS q FROM (SELECT *, CASE WHEN abs(p) >= abs(q) THEN sign(p) ELSE sign(q) END / sqrt(p * p + q * q) AS k FROM e))
+SELECT round(a, 4) AS a, round(b, 4) AS b, round(a * p + b * q, 4) AS pc0 FROM (SELECT DISTINCT a, b FROM t), u"""),
     "factor_analysis": (lambda s, d: rounded(s.createDataFrame([(float(v),) for v in L.factor_analysis(L.gram(data(s, d), [*XS, "y"], []), 1)[1]], "noise double"), 3), None),
     "mahalanobis": (lambda s, d: (lambda x, g: rounded(x.agg(F.avg(L.mahalanobis(XS, g.mean(), np.linalg.inv(L.covariance(g)))).alias("mean"))))(x := data(s, d), L.gram(x, XS, [])), "SELECT 2.0::DOUBLE AS mean"),
     "pls_regression": (lambda s, d: rounded(s.createDataFrame([(c, float(w)) for c, w in zip(XS, L.pls(L.gram(data(s, d), XS, ["y"]), 2)[:, 0], strict=True)], "term string, value double"), 5), solved("0").split("UNION ALL SELECT 'intercept'")[0]),

@@ -20,7 +20,7 @@ from quarry.operators import preprocess as P
 from quarry.operators import selection as S
 from quarry.operators import trees as T
 from quarry.plans.kernel import OLS, curve, mse, part
-from quarry.plans.linear import XS
+from quarry.plans.linear import DATA, XS
 from quarry.plans.linear import data as rows
 from quarry.plans.metrics import REG, _t, reg
 from quarry.sources import io
@@ -146,7 +146,8 @@ SELECT round(n * (ay * (ay * bb - yb * ab) + yb * (yb * aa - ay * ab)) / (aa * b
 SELECT n, round(mean, 4) AS mean, round(sqrt(v), 4) AS std, round(s / v ** 1.5, 4) AS skewness, round(k / v ** 2 - 3, 4) AS kurtosis FROM c"""),
     "goodness_of_fit": (lambda s, d: rounded(C.goodness_of_fit(reg(s, d), "y", "p", 2.0).select("n", "r2", "adjusted_r2", "mse", "rmse", "mae"), 4), f"""WITH {REG}, g AS (SELECT count(*) AS n, avg((y - p) ** 2) AS mse, avg(abs(y - p)) AS mae, var_pop(y) AS v FROM t)
 SELECT n, round(1 - mse / v, 4) AS r2, round(1 - mse / v * (n - 1) / (n - 3), 4) AS adjusted_r2, round(mse, 4) AS mse, round(sqrt(mse), 4) AS rmse, round(mae, 4) AS mae FROM g"""),
-    "goldfeld_quandt": (steep, None),
+    "goldfeld_quandt": (steep, f"""WITH {DATA}, k AS (SELECT quantile_cont(a, 0.4) AS low, quantile_cont(a, 0.6) AS high FROM t), q AS (SELECT CASE WHEN a <= low THEN 0 WHEN a >= high THEN 1 END AS side, a, y FROM t, k),
+v AS (SELECT side, (var_pop(y) - covar_pop(a, y) ** 2 / var_pop(a)) * count(*) / (count(*) - 2) AS v FROM q WHERE side IS NOT NULL GROUP BY 1) SELECT round((SELECT v FROM v WHERE side = 1) / (SELECT v FROM v WHERE side = 0), 4) AS statistic"""),
     "adaboost_regressor": (lambda s, d: (x := part(s, d).withColumn("y", F.col("a") * 2)) and rounded(x.withColumn("prediction", T.adaboost_regressor(x, ["a"], "y", 2)).agg((F.avg((F.col("prediction") - F.col("y")) ** 2) < 0.2).cast("int").alias("close")), 2), "SELECT 1 AS close"),
     "logistic_regression_cv": (lambda s, d: rounded(L.logistic_cv(x := rows(s, d), XS, "s", "f", (0.1, 10.0))[0].table(x), 3), None),
     "repeated_stratified_k_fold": (lambda s, d: S.repeated_stratified_k_fold(_t(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment", 5, 1).groupBy("c_mktsegment").agg((F.max("fold_0") - F.min("fold_0") + 1).cast("long").alias("folds"), F.count("*").alias("n")), "SELECT c_mktsegment, 5::BIGINT AS folds, count(*) AS n FROM customer GROUP BY 1"),
