@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,20 +139,33 @@ def iterative_imputer(df: DataFrame, columns: list[str], rounds: int = 10, alpha
     return cur.drop(*[f"_x_{c}" for c in columns])
 
 
-def knn_imputer(df: DataFrame, columns: list[str], key: str, k: int = 5, most: int = 50_000) -> DataFrame:
-    """Means over the nearest rows that have the feature, by distances over the features both have (not rescaled). The donors are broadcast after a check of their number."""
+def _nearest_donors(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each missing value of the rows ``x`` its ``k`` nearest donors in one block: row, column, donor, squared distance over the features both have, value."""
+    out: list[tuple] = []
+    for r in range(len(i)):
+        d = np.nansum((y - x[r]) ** 2, axis=1)
+        for c in np.flatnonzero(np.isnan(x[r])).tolist():
+            some = np.flatnonzero(~np.isnan(y[:, c]) & (j != i[r]))
+            best = some[np.lexsort((j[some], d[some]))[:k]]
+            out += [(int(i[r]), c, int(j[t]), float(d[t]), float(y[t, c])) for t in best]
+    kinds = (np.int64, np.int32, np.int64, np.float64, np.float64)
+    return [np.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)] if out else [np.zeros(0)] * 5
+
+
+def knn_imputer(df: DataFrame, columns: list[str], key: str, k: int = 5) -> DataFrame:
+    """Means over the nearest rows that have the feature, by distances over the features both have (not rescaled), ties by key; 0 where no row has it. Rows and donors meet in packed blocks,
+    of which each gives a missing value its nearest few only."""
+    from quarry.operators.neighbors import in_blocks
+
     x = {c: present(F.col(c).cast("double")) for c in columns}
     whole = df.withColumns({c: x[c] for c in columns})
-    donors = whole.select(F.col(key).alias("_j"), *[F.col(c).alias(f"_d_{c}") for c in columns])
-    if donors.limit(most + 1).count() > most:
-        raise ValueError(f"at most {most} donors")
-    need = whole.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns]))
-    pair = need.crossJoin(F.broadcast(donors)).where(F.col(key) != F.col("_j"))
-    d = _sum([F.coalesce((F.col(c) - F.col(f"_d_{c}")) ** 2, F.lit(0.0)) for c in columns])
-    near = lambda c: F.slice(F.array_sort(F.collect_list(F.when(F.col(f"_d_{c}").isNotNull(), F.struct(d.alias("d"), F.col("_j"), F.col(f"_d_{c}").alias("v"))))), 1, k)
-    got = pair.groupBy(key).agg(*[near(c).alias(f"_n_{c}") for c in columns])
-    fill = got.select(key, *[F.when(F.size(f"_n_{c}") > 0, F.aggregate(f"_n_{c}", F.lit(0.0), lambda a, b: a + b["v"]) / F.size(f"_n_{c}")).otherwise(0.0).alias(f"_f_{c}") for c in columns])
-    return whole.join(fill, key, "left").select(*[F.coalesce(F.col(c), F.col(f"_f_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
+    rows = whole.select(F.col(key).cast("long").alias("i"), F.array(*[F.coalesce(F.col(c), F.lit(float("nan"))) for c in columns]).alias("x"), missing.alias("m"))
+    near = in_blocks(rows.where("m").select("i", "x"), rows.select("i", "x"), lambda i, a, j, b: _nearest_donors(i, a, j, b, k), "i long, c int, j long, d double, v double")
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("i", "c").orderBy("d", "j"))).where(F.col("r") <= k)
+    fill = best.groupBy("i").agg(*[F.avg(F.when(F.col("c") == at, F.col("v"))).alias(f"_f_{c}") for at, c in enumerate(columns)]).withColumnRenamed("i", "_i")
+    joined = whole.join(fill, F.col(key) == F.col("_i"), "left")
+    return joined.select(*[F.coalesce(F.col(c), F.col(f"_f_{c}"), F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 # --- factorisation and robust covariance --------------------------------------

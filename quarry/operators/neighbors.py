@@ -1,8 +1,8 @@
 """Neighbours, distances and kernels between a table of queries and a table of points.
 
-Vectors are array<double> columns. Exact search compares queries with all points: the points are taken in blocks
-of a checked size (vectors as numpy matrices, one broadcast each), every block gives each query its nearest few, and these are merged, so neither
-all pairs nor all points are ever in one place. Range search in few dimensions joins on grid cells instead.
+Vectors are array<double> columns. Exact search compares queries with all points: both are packed into blocks
+of rows (a matrix in one row), each pair of blocks gives each query its nearest few, and these are merged, so neither
+all pairs nor all points are ever in one place, and nothing passes through the driver. Range search in few dimensions joins on grid cells instead.
 Ties in distance are broken by the points' ids.
 """
 
@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points of one broadcast block.
-BLOCK_ROWS = 50_000
+#: Rows of a packed block at most, and its numbers.
+BLOCK_ROWS, BLOCK_VALUES = 4096, 1 << 18
 
 
 def vector(*columns: str) -> Column:
@@ -95,48 +95,59 @@ def pairwise(a: DataFrame, b: DataFrame, f, most: int = 5000) -> DataFrame:
     return a.crossJoin(F.broadcast(b)).select("i", "j", f(F.col("x"), F.col("y")).alias("value"))
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], held, k: int) -> Iterator[pa.RecordBatch]:
-    ids, pts, norms = held.value
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, vector) as blocks: ids and a matrix as bytes. A null in a vector is NaN."""
     for batch in batches:
-        q = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
-        out = []
-        for at in range(0, len(q), 256):
-            x = q[at : at + 256]
-            near = np.maximum(norms + (x * x).sum(1)[:, None] - 2 * x @ pts.T, 0)
-            m = min(k, len(ids))
-            # a few more than k by the fast formula; exact distances then decide, ties by id
-            wide = min(len(ids), m + 8)
-            some = np.argpartition(near, wide - 1, axis=1)[:, :wide] if wide < len(ids) else np.broadcast_to(np.arange(len(ids)), near.shape)
-            for r in range(len(x)):
-                edge = near[r, some[r]].max()
-                c = np.flatnonzero(near[r] <= edge * (1 + 1e-9) + 1e-12) if wide < len(ids) else some[r]
-                d = np.sqrt(((pts[c] - x[r]) ** 2).sum(1))
-                best = np.lexsort((ids[c], d))[:m]
-                out += [(batch.column(0)[at + r].as_py(), int(ids[c[t]]), float(d[t])) for t in best]
-        if out:
-            yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], names=["i", "j", "distance"])
+        n = batch.num_rows
+        if not n:
+            continue
+        values = batch.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(n, -1)
+        ids = batch.column(0).to_numpy()
+        size = max(1, min(BLOCK_ROWS, BLOCK_VALUES // max(1, values.shape[1])))
+        for at in range(0, n, size):
+            yield pa.record_batch([pa.array([ids[at : at + size].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(values[at : at + size]).tobytes()], pa.binary())], names=["ids", "rows"])
+
+
+def in_blocks(queries: DataFrame, points: DataFrame, f, schema: str) -> DataFrame:
+    """The rows of ``f(query ids, query matrix, point ids, point matrix)`` (a list of columns) for every pair of blocks of ``queries`` (i long, x) and ``points`` (j long, y)."""
+    kind = "{0}_ids binary, {0}_rows binary"
+    pack = lambda df, side: df.mapInArrow(lambda it: (b.rename_columns([f"{side}_ids", f"{side}_rows"]) for b in _packed(it)), kind.format(side))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qi, qx, pj, py in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                i, j = np.frombuffer(qi, np.int64), np.frombuffer(pj, np.int64)
+                columns = f(i, np.frombuffer(qx).reshape(len(i), -1), j, np.frombuffer(py).reshape(len(j), -1))
+                if len(columns[0]):
+                    yield pa.record_batch([pa.array(c) for c in columns], names=names)
+
+    return pack(queries, "q").crossJoin(pack(points, "p")).mapInArrow(go, schema)
+
+
+def _nearest(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, k: int) -> list[np.ndarray]:
+    """Of each query the ``k`` nearest points of one block, ties by id: i, j, distance."""
+    out: list[list[np.ndarray]] = []
+    norms = (y * y).sum(1)
+    for at in range(0, len(i), 256):
+        q = x[at : at + 256]
+        near = np.maximum(norms + (q * q).sum(1)[:, None] - 2 * q @ y.T, 0)
+        m = min(k, len(j))
+        # a few more than k by the fast formula; exact distances then decide
+        wide = min(len(j), m + 8)
+        edge = np.partition(near, wide - 1, axis=1)[:, wide - 1]
+        for r in range(len(q)):
+            c = np.flatnonzero(near[r] <= edge[r] * (1 + 1e-9) + 1e-12)
+            d = np.sqrt(((y[c] - q[r]) ** 2).sum(1))
+            best = np.lexsort((j[c], d))[:m]
+            out.append([np.full(m, i[at + r]), j[c[best]], d[best]])
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int = 5, exclude_self: bool = False) -> DataFrame:
     """(i, j, distance, rank): the ``k`` nearest of ``points`` (j long, y) to each of ``queries`` (i long, x), Euclidean and exact."""
-    spark = queries.sparkSession
-    parts, held = [], []
-
-    def block() -> None:
-        ids, pts = np.array([j for j, _ in held]), np.array([y for _, y in held], float)
-        b = spark.sparkContext.broadcast((ids, pts, (pts * pts).sum(1)))
-        parts.append(queries.select(F.col("i").cast("long"), "x").mapInArrow(lambda it: _nearest(it, b, k + exclude_self), "i long, j long, distance double"))
-        held.clear()
-
-    for r in points.select(F.col("j").cast("long"), "y").toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == BLOCK_ROWS:
-            block()
-    if held:
-        block()
-    if not parts:
-        return spark.createDataFrame([], "i long, j long, distance double, rank int")
-    found = reduce(DataFrame.unionByName, parts)
+    wanted = k + exclude_self
+    found = in_blocks(queries.select(F.col("i").cast("long"), "x"), points.select(F.col("j").cast("long"), "y"), lambda i, x, j, y: _nearest(i, x, j, y, wanted), "i long, j long, distance double")
     if exclude_self:
         found = found.where("i <> j")
     w = Window.partitionBy("i").orderBy("distance", "j")

@@ -188,3 +188,76 @@ def test_files_and_models(spark, tmp_path):
     with pytest.raises(ValueError):
         io.load_model(P.Affine, str(tmp_path / "m"), spark)
     assert 'coefficient="2.0"' in io.pmml_linear(m.features, m.coef, m.intercept, "y")
+
+
+def test_knn_imputer_against_plain_loops(spark):
+    from quarry.operators import kernel_models as K
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3)).round(1)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    got = {r.id: tuple(r)[1:] for r in K.knn_imputer(spark.createDataFrame(rows, "id long, a double, b double, c double"), ["a", "b", "c"], "id", 4).collect()}
+    for i in range(60):
+        d = np.nansum((x - x[i]) ** 2, axis=1)
+        for c in range(3):
+            order = [j for j in np.lexsort((np.arange(60), d)) if j != i and not np.isnan(x[j, c])][:4]
+            want = x[order, c].mean() if np.isnan(x[i, c]) else x[i, c]
+            assert got[i][c] == pytest.approx(want)
+
+
+def test_adjusted_mutual_info_against_all_cells(spark):
+    from math import exp, lgamma, log
+
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 4, 300), rng.integers(0, 3, 300)
+    b[:120] = a[:120] % 3
+    n, g = 300, lambda v: lgamma(v + 1)
+    na, nb = np.bincount(a).tolist(), np.bincount(b).tolist()
+    emi = 0.0
+    for x in na:
+        for z in nb:
+            for k in range(max(1, x + z - n), min(x, z) + 1):
+                emi += k / n * log(n * k / (x * z)) * exp(g(x) + g(z) + g(n - x) + g(n - z) - g(n) - g(k) - g(x - k) - g(z - k) - g(n - x - z + k))
+    mi = sum(c / n * log(c * n / (na[i] * nb[j])) for i in range(4) for j in range(3) if (c := int(((a == i) & (b == j)).sum())))
+    h = max(-sum(v / n * log(v / n) for v in m) for m in (na, nb))
+    df = spark.createDataFrame([(int(p), int(q)) for p, q in zip(a, b, strict=True)], "a int, b int")
+    assert M.adjusted_mutual_info(df, "a", "b") == pytest.approx((mi - emi) / (h - emi))
+
+
+def test_stratified_groups_go_to_the_least_deviation(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(g), int(rng.integers(0, 3)), k) for k, g in enumerate(rng.integers(0, 40, 500))]
+    counts = {}
+    for g, c, _ in rows:
+        counts.setdefault(g, [0, 0, 0])[c] += 1
+    share = [sum(v[c] for v in counts.values()) / 4 for c in range(3)]
+    load, want = [[0] * 3 for _ in range(4)], {}
+    for g, v in sorted(counts.items(), key=lambda r: (-sum(r[1]), r[0])):
+        score = [sum((a + b - t) ** 2 for a, b, t in zip(one, v, share, strict=True)) for one in load]
+        f = score.index(min(score))
+        load[f] = [a + b for a, b in zip(load[f], v, strict=True)]
+        want[g] = f
+    df = spark.createDataFrame(rows, "g long, y int, k long")
+    assert {(r.g, r.fold) for r in S.stratified_group_k_fold(df, "g", "y", 4).collect()} == set(want.items())
+    load, want = [0] * 4, {}
+    for g, v in sorted(counts.items(), key=lambda r: (-sum(r[1]), r[0])):
+        f = load.index(min(load))
+        load[f] += sum(v)
+        want[g] = f
+    assert {(r.g, r.fold) for r in S.group_k_fold(df, "g", 4).collect()} == set(want.items())
+
+
+def test_turns_are_those_of_one_by_one():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        k = int(rng.integers(1, 6))
+        load = [int(v) for v in rng.integers(0, 60, k)]
+        step, n = int(rng.integers(1, 9)), int(rng.integers(0, 60))
+        plain, want = list(load), []
+        for _ in range(n):
+            f = plain.index(min(plain))
+            plain[f] += step
+            want.append(f)
+        parts = S._turns(load, step, n)
+        assert [f for a, e, folds in parts for j in range(a, e) for f in [folds[(j - a) % len(folds)]]] == want and load == plain
