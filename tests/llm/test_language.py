@@ -72,3 +72,38 @@ def test_more_than_64_languages(make):
     got = language.identify(make(rows)).collect()
     held = [r for r in got if r.held_out]
     assert len({r.lang_pred for r in got}) == 70 and sum(r.lang_pred == f"l{r.doc_id % 70:02d}" for r in held) > 0.97 * len(held)
+
+
+def test_predictions_against_plain_sums(spark):
+    """Every prediction and score from the definition: counts of all training grams, exact sets with the filters' false positives taken from the filters themselves."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    train = [(t, x) for i, t, x in rows if i is not None and zlib.crc32(str(i).encode()) % 5 and x is not None and t is not None]
+    counts = {x: {} for x in sorted({x for _, x in train})}
+    for t, x in train:
+        for g in brute(t):
+            counts[x][g] = counts[x].get(g, 0) + 1
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    share = {x: {g: n / total[x] for g, n in c.items() if n >= language.MIN_SHARE * total[x]} for x, c in counts.items()}
+    top = {}
+    for c in share.values():
+        for g, v in c.items():
+            top[g] = max(top.get(g, 0), v)
+    kept = {x: {g for g, v in c.items() if v >= language.CONTRAST * top[g]} for x, c in share.items()}
+    own = {x: sum(share[x][g] for g in kept[x]) for x in kept}
+    slots = lambda g: [int(s[0]) for s in language.slots(np.array([g], np.uint32))]
+    full = {x: {s for g in kept[x] for s in slots(g)} for x in kept}
+    false = {x: (len(full[x]) / (1 << language.SLOT_BITS)) ** len(language.MULTIPLIERS) for x in kept}
+    want = {}
+    for i, t, _ in rows:
+        g = brute(t or "")
+        if not any(c.isalpha() for c in t or ""):
+            want[i] = ("und", 0.0)
+            continue
+        spots = [slots(v) for v in g]
+        scaled = {x: max(0, sum(all(s in full[x] for s in v) for v in spots) / max(1, len(g)) - false[x]) / (1 - false[x]) / own[x] for x in kept}
+        best = max(sorted(scaled), key=lambda x: scaled[x])
+        want[i] = (best, min(1.0, scaled[best])) if scaled[best] > 0 else (max(sorted(total), key=lambda x: total[x]), 0.0)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == p and abs(got[i][1] - s) < 1e-9 for i, (p, s) in want.items())

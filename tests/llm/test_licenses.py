@@ -77,3 +77,33 @@ def test_every_text_within_the_edits_is_found(make):
         rows.append((i, "before " + "".join(t) + " after"))
     got = licenses.scan(make(rows), {notice: "mpl"}, {"mit license": "mit"}).collect()
     assert all(r.labels == "mpl" and r.spans[0].edits <= e for r in got)
+
+
+def test_labels_and_scores_against_a_search_of_whole_texts(make):
+    """No seeds and no regions: the regex library searches every notice in every text."""
+    import random
+
+    import regex
+
+    rng = random.Random(9)
+    notices = list(licenses.NOTICES.items())
+    rows = []
+    for i in range(300):
+        t = list(rng.choice(notices)[0])
+        for _ in range(rng.randint(0, 5)):
+            p = rng.randrange(len(t))
+            t[p : p + 1] = rng.choice([[], [rng.choice("abcq")], [t[p], rng.choice("xyz")]])
+        rows.append((i, f"some {rng.choice(['words', 'of the', 'license'])} " + "".join(t) + " and other words"))
+    got = {r.doc_id: r for r in licenses.scan(make(rows)).collect()}
+    size = {}
+    for n, label in notices:
+        size[label] = max(size.get(label, 0), len(n))
+    for i, t in rows:
+        joined = " ".join(W.findall(t))
+        labels, score = {x for x in brute(t)[4].split(",") if x}, 1.0 if brute(t)[1] else 0.0
+        for n, label in notices:
+            e = licenses.edits_allowed(n)
+            if m := regex.search(f"(?b)(?:{regex.escape(n, literal_spaces=True)}){{e<={e}}}", joined):
+                labels.add(label)
+                score = max(score, 1 - sum(m.fuzzy_counts) / size[label])
+        assert (got[i].labels, round(got[i].score, 9)) == (",".join(sorted(labels)), round(score, 9)), t
