@@ -241,6 +241,23 @@ def shortest_paths(edges: DataFrame, source: int, max_iter: int = 100) -> DataFr
     return best
 
 
+def all_pairs_shortest_paths(edges: DataFrame, max_iter: int = 100) -> DataFrame:
+    """(source, node, distance) of every node that each source reaches over weighted directed ``edges`` (u, v, w >= 0): rounds of relaxation for all sources at once.
+    The result has a row for each such pair."""
+    edges = cut(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("w").cast("double").alias("w")).groupBy("u", "v").agg(F.min("w").alias("w")))
+    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    best = cut(nodes.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance")))
+    state = None
+    for _ in range(max_iter):
+        step = best.join(edges, F.col("node") == F.col("u")).select("source", F.col("v").alias("node"), (F.col("distance") + F.col("w")).alias("distance"))
+        best = cut(best.unionByName(step).groupBy("source", "node").agg(F.min("distance").alias("distance")))
+        now = best.agg(F.sum("distance"), F.count("*")).first()
+        if now == state:
+            break
+        state = now
+    return best
+
+
 def minimum_spanning_tree(edges: DataFrame, max_iter: int = 64) -> DataFrame:
     """(u, v, w) of a minimum spanning forest of undirected edges: in each round every component takes its cheapest edge (ties by w, u, v), and components merge."""
     e = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w").where("u <> v").groupBy("u", "v").agg(F.min("w").alias("w"))

@@ -7,6 +7,7 @@ used are an error in the data and should be dropped before; a metric that is not
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -182,6 +183,35 @@ def probability_scores(df: DataFrame, y: str, prob: str, eps: float = 1e-15) ->
     return x.select("log_loss", "brier_score_loss", "hinge_loss", (1 - safe_div(F.col("brier_score_loss"), F.col("_b0"), 1.0)).alias("d2_brier_score"), (1 - safe_div(F.col("log_loss"), F.col("_l0"), 1.0)).alias("d2_log_loss_score"))
 
 
+def multiclass_log_loss(df: DataFrame, y: str, probs: dict, eps: float = 1e-15) -> DataFrame:
+    """One row: log_loss of a column of probabilities for each class; each row's are clipped and made to sum to one. A target that is no key counts as probability ``eps``."""
+    clip = lambda c: F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col(c)))
+    total = reduce(lambda a, b: a + b, [clip(c) for c in probs.values()])
+    own = reduce(lambda a, b: F.coalesce(a, b), [F.when(F.col(y) == k, clip(c) / total) for k, c in probs.items()])
+    return df.agg((-F.avg(F.log(F.coalesce(own, F.lit(eps))))).alias("log_loss"))
+
+
+def multiclass_roc_auc(df: DataFrame, y: str, scores: dict) -> DataFrame:
+    """(label, support, roc_auc_score) of each class against all others, from running counts of its column of scores. Macro and weighted means are means of these rows."""
+    out = None
+    for k, c in scores.items():
+        one = df.select((F.col(y) == k).cast("int").alias("_t"), F.col(c).alias("_s"))
+        row = binary_scores(one, "_t", "_s").crossJoin(one.agg(F.sum("_t").alias("support"))).select(F.lit(k).alias("label"), "support", "roc_auc_score")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def multiclass_roc_auc_pairs(df: DataFrame, y: str, scores: dict) -> DataFrame:
+    """(a, b, roc_auc_score) of each pair of classes: the mean of both classes' areas on the rows of the two."""
+    out = None
+    for a, b in combinations(sorted(scores), 2):
+        two = df.where(F.col(y).isin(a, b))
+        areas = [binary_scores(two.select((F.col(y) == k).cast("int").alias("_t"), F.col(scores[k]).alias("_s")), "_t", "_s").select(F.col("roc_auc_score").alias(f"_{j}")) for j, k in enumerate((a, b))]
+        row = areas[0].crossJoin(areas[1]).select(F.lit(a).alias("a"), F.lit(b).alias("b"), ((F.col("_0") + F.col("_1")) / 2).alias("roc_auc_score"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def calibration_curve(df: DataFrame, y: str, prob: str, n_bins: int = 5) -> DataFrame:
     """(bin, n, prob_true, prob_pred) of the bins that aren't empty; the last one is closed."""
     b = F.least(F.floor(F.col(prob) * n_bins), F.lit(n_bins - 1)).cast("int")
