@@ -94,6 +94,9 @@ SELECT fold, sum(n)::BIGINT AS n, sum(k * n)::BIGINT AS keys FROM f JOIN g USING
     "dummy_regressor": (lambda s, d: rounded((x := data(s, d)).select(S.dummy_regressor(x, "y", "quantile", 0.9).alias("p")).distinct()), f"WITH {DATA} SELECT round(quantile_cont(y, 0.9), 6) AS p FROM t"),
     "partial_dependence": (dependence, f"""WITH {DATA}, g AS (SELECT count(*) * var_pop(a) AS aa, count(*) * var_pop(b) AS bb, count(*) * covar_pop(a, b) AS ab, count(*) * covar_pop(a, y) AS ay, count(*) * covar_pop(b, y) AS yb, avg(a) AS ma, avg(y) AS my FROM t), w AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS wa FROM g)
 SELECT v.value, round(my + wa * (v.value - ma), 4) AS mean_prediction FROM w, (VALUES (0.0::DOUBLE), (2.5), (5.0)) v(value)"""),
-    "tuned_threshold": (lambda s, d: s.createDataFrame([(S.tuned_threshold(_t(s, d, "lineitem").select((F.col("l_quantity") > 31).cast("int").alias("y"), (F.col("l_quantity") / 50).alias("p")), "y", "p", lambda tp, fp, fn, tn: (tp + tn) / (tp + fp + fn + tn)),)], "threshold double"), "SELECT 0.65::DOUBLE AS threshold"),
-    "platt_calibration": (lambda s, d: rounded((x := data(s, d)).withColumn("p", S.platt(x, "s", "a")).agg(F.avg("p").alias("mean")), 3), f"WITH {DATA} SELECT round(avg(s), 3) AS mean FROM t"),
+    "tuned_threshold": (lambda s, d: s.createDataFrame([(S.tuned_threshold(_t(s, d, "lineitem").select((F.col("l_quantity") > 31).cast("int").alias("y"), (F.col("l_quantity") / 50).alias("p")), "y", "p", lambda tp, fp, fn, tn: (tp + tn) / (tp + fp + fn + tn)),)], "threshold double"), "WITH t AS (SELECT l_quantity > 31 AS y, l_quantity / 50 AS p FROM lineitem) SELECT k::DOUBLE / 20 AS threshold FROM t, range(21) r(k) GROUP BY k ORDER BY count(*) FILTER (y = (p >= k::DOUBLE / 20)) DESC, k LIMIT 1"),
+    "platt_calibration": (lambda s, d: rounded((x := data(s, d)).withColumn("p", S.platt(x, "s", "a")).select("a", "p").distinct(), 4), f"""WITH RECURSIVE {DATA}, c AS (SELECT a, CASE WHEN s = 1 THEN (q + 1) / (q + 2) ELSE 1 / (r + 2) END AS y, count(*) AS n FROM t, (SELECT sum(s) AS q, sum(1 - s) AS r FROM t) GROUP BY 1, 2),
+r AS (SELECT 0 AS it, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b UNION ALL SELECT it + 1, w - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+FROM (SELECT it, w, b, sum(n * (p - y) * a) AS g0, sum(n * (p - y)) AS g1, sum(n * p * (1 - p) * a * a) AS h00, sum(n * p * (1 - p) * a) AS h01, sum(n * p * (1 - p)) AS h11 FROM (SELECT *, 1 / (1 + exp(-(w * a + b))) AS p FROM r, c WHERE it < 30) GROUP BY it, w, b))
+SELECT DISTINCT round(a, 4) AS a, round(1 / (1 + exp(-(w * a + b))), 4) AS p FROM t, r WHERE it = 30"""),
 }

@@ -149,6 +149,6 @@ SELECT round(a, 4) AS a, round(b, 4) AS b, round((a - avg_a) * p + (b - avg_b) *
     "truncated_svd": (lambda s, d: rounded(L.truncated_svd(L.gram(x := data(s, d), XS, []), 1).transform(x.select("a", "b").distinct()), 4), f"""WITH {DATA}, z AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM t), e AS (SELECT (aa + bb) / 2 + sqrt(((aa - bb) / 2) ** 2 + ab * ab) - bb AS p, ab AS q FROM z), u AS (SELECT p * k AS p, q * k AS q FROM (SELECT *, CASE WHEN abs(p) >= abs(q) THEN sign(p) ELSE sign(q) END / sqrt(p * p + q * q) AS k FROM e))
 SELECT round(a, 4) AS a, round(b, 4) AS b, round(a * p + b * q, 4) AS pc0 FROM (SELECT DISTINCT a, b FROM t), u"""),
     "factor_analysis": (lambda s, d: rounded(s.createDataFrame([(float(v),) for v in L.factor_analysis(L.gram(data(s, d), [*XS, "y"], []), 1)[1]], "noise double"), 3), None),
-    "mahalanobis": (lambda s, d: (lambda x, g: rounded(x.agg(F.avg(L.mahalanobis(XS, g.mean(), np.linalg.inv(L.covariance(g)))).alias("mean"))))(x := data(s, d), L.gram(x, XS, [])), "SELECT 2.0::DOUBLE AS mean"),
+    "mahalanobis": (lambda s, d: (lambda x, g: rounded(x.agg(F.avg(L.mahalanobis(XS, g.mean(), np.linalg.inv(L.covariance(g)))).alias("mean"))))(x := data(s, d), L.gram(x, XS, [])), f"WITH {DATA}, m AS (SELECT var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS w, avg(a) AS ma, avg(b) AS mb FROM t) SELECT round(avg(((a - ma) ** 2 * vb - 2 * (a - ma) * (b - mb) * w + (b - mb) ** 2 * va) / (va * vb - w * w)), 6) AS mean FROM t, m"),
     "pls_regression": (lambda s, d: rounded(s.createDataFrame([(c, float(w)) for c, w in zip(XS, L.pls(L.gram(data(s, d), XS, ["y"]), 2)[:, 0], strict=True)], "term string, value double"), 5), solved("0").split("UNION ALL SELECT 'intercept'")[0]),
 }
