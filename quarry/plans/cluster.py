@@ -98,5 +98,5 @@ SELECT v.value, round(my + wa * (v.value - ma), 4) AS mean_prediction FROM w, (V
     "platt_calibration": (lambda s, d: rounded((x := data(s, d)).withColumn("p", S.platt(x, "s", "a")).select("a", "p").distinct(), 4), f"""WITH RECURSIVE {DATA}, c AS (SELECT a, CASE WHEN s = 1 THEN (q + 1) / (q + 2) ELSE 1 / (r + 2) END AS y, count(*) AS n FROM t, (SELECT sum(s) AS q, sum(1 - s) AS r FROM t) GROUP BY 1, 2),
 r AS (SELECT 0 AS it, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b UNION ALL SELECT it + 1, w - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
 FROM (SELECT it, w, b, sum(n * (p - y) * a) AS g0, sum(n * (p - y)) AS g1, sum(n * p * (1 - p) * a * a) AS h00, sum(n * p * (1 - p) * a) AS h01, sum(n * p * (1 - p)) AS h11 FROM (SELECT *, 1 / (1 + exp(-(w * a + b))) AS p FROM r, c WHERE it < 30) GROUP BY it, w, b))
-SELECT DISTINCT round(a, 4) AS a, round(1 / (1 + exp(-(w * a + b))), 4) AS p FROM t, r WHERE it = 30"""),
+SELECT DISTINCT round(a, 4) AS a, round(1 / (1 + exp(-(w * a + r.b))), 4) AS p FROM t, r WHERE it = 30"""),
 }
