@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder named by spark.checkpoint.dir (a local one where it is unset, as in tests) and read again, so that no lineage grows
-    and a lost executor costs nothing."""
+    """``df`` written to the folder named by spark.checkpoint.dir and read again, so that no lineage grows and a lost executor costs nothing. Where the setting is unset, a local folder
+    is set in local mode (tests), and a cluster is refused."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
