@@ -138,6 +138,33 @@ def students_t(df: float) -> Distribution:
     return Distribution(lambda x: math.exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + x * x / df) ** (-(df + 1) / 2), cdf, 0.0 if df > 1 else math.nan, df / (df - 2) if df > 2 else math.inf)
 
 
+@dataclass(frozen=True)
+class Dirichlet:
+    """Shares that add up to 1, with concentrations ``alpha``."""
+
+    alpha: tuple[float, ...]
+
+    def __post_init__(self):
+        if len(self.alpha) < 2 or min(self.alpha) <= 0:
+            raise ValueError("two or more positive concentrations")
+
+    @property
+    def mean(self) -> tuple[float, ...]:
+        return tuple(a / sum(self.alpha) for a in self.alpha)
+
+    def log_pdf(self, x) -> float:
+        if len(x) != len(self.alpha) or min(x) <= 0 or abs(sum(x) - 1) > 1e-6:
+            raise ValueError("shares must be positive, as many as concentrations, and add up to 1")
+        return lgamma(sum(self.alpha)) + sum((a - 1) * math.log(v) - lgamma(a) for a, v in zip(self.alpha, x, strict=True))
+
+    def pdf(self, x) -> float:
+        return math.exp(self.log_pdf(x))
+
+    def sample(self, rng: np.random.Generator, n: int = 1) -> np.ndarray:
+        g = rng.gamma(self.alpha, size=(n, len(self.alpha)))
+        return g / g.sum(1, keepdims=True)
+
+
 def chi2_sf(x: float, df: float) -> float:
     return 1 - inc_gamma(df / 2, x / 2)
 

@@ -576,6 +576,16 @@ def graphical_lasso(s: np.ndarray, alpha: float, max_iter: int = 100, tol: float
     return w, np.linalg.inv(w)
 
 
+def graphical_lasso_cv(df: DataFrame, features: list[str], fold: str, alphas: list[float], **options) -> tuple[float, list[float], np.ndarray, np.ndarray]:
+    """(alpha, mean score of each alpha, covariance, precision): of ``alphas`` the first with the highest mean log-likelihood of the folds left out. All rows are read once, as sums for each fold."""
+    parts = grams(df, features, [], by=fold)
+    whole = Gram(features, [], sum(g.m for g in parts.values()))
+    rest = {k: Gram(features, [], whole.m - g.m) for k, g in parts.items()}
+    scores = [float(np.mean([log_likelihood(covariance(g), graphical_lasso(covariance(rest[k]), a, **options)[1]) for k, g in parts.items()])) for a in alphas]
+    best = alphas[int(np.argmax(scores))]
+    return best, scores, *graphical_lasso(covariance(whole), best, **options)
+
+
 def log_likelihood(s: np.ndarray, precision: np.ndarray) -> float:
     return float(-np.sum(s * precision) + np.linalg.slogdet(precision)[1] - len(s) * np.log(2 * np.pi)) / 2
 
@@ -612,6 +622,30 @@ def pca(g: Gram, k: int, center: bool = True) -> Projection:
     return Projection(g.features, g.mean() if center else np.zeros(len(g.features)), vectors[:k], values[:k], values[:k] / max(values.sum(), 1e-300))
 
 
+@dataclass
+class IncrementalPCA:
+    """Components of all batches seen: the state is the sum of their products, so any order and size of batches gives the components of all rows at once.
+    ``update`` is for foreachBatch."""
+
+    features: list[str]
+    k: int
+    state: Gram | None = None
+
+    def update(self, batch: DataFrame, _epoch: int = 0) -> None:
+        for g in grams(batch, self.features, []).values():  # none for an empty batch
+            self.state = g if self.state is None else Gram(self.features, [], self.state.m + g.m)
+
+    def model(self) -> Projection:
+        if self.state is None:
+            raise ValueError("no rows yet")
+        return pca(self.state, self.k)
+
+
+def whitened(p: Projection) -> Projection:
+    """Components scaled so that the projected columns have variance 1."""
+    return Projection(p.features, p.mean, p.components / np.sqrt(np.maximum(p.variance, 1e-300))[:, None], p.variance, p.ratio)
+
+
 def truncated_svd(g: Gram, k: int) -> Projection:
     return pca(g, k, False)
 

@@ -262,19 +262,58 @@ def gradient_boosting_regressor(df, features, y, n_trees=20, rate=0.1, max_depth
     return m
 
 
-def gradient_boosting_classifier(df, features, y, n_trees=20, rate=0.1, max_depth=3, max_bins=MAX_BINS, **options) -> tuple[TreeRegressor, Column]:
-    """Log-loss of a 0/1 target: (score model, probability). Leaves are Newton steps, sums of residuals over sums of p (1 - p)."""
+def _residuals(df, features, y, p, max_depth, cuts, newton, options) -> Tree:
+    """A tree of y - p; leaves are means, or Newton steps (sums of residuals over sums of p (1 - p)) with ``newton``."""
+    if not newton:
+        return grow(df, features, [y - p], kind="mse", max_depth=max_depth, cuts=cuts, **options)[0]
+    h = F.greatest(p * (1 - p), F.lit(1e-9))
+    return grow(df, features, [(y - p) / h], [h], "mse", max_depth=max_depth, cuts=cuts, **(options | {"min_leaf": 0}))[0]
+
+
+def gradient_boosting_classifier(df, features, y, n_trees=20, rate=0.1, max_depth=3, max_bins=MAX_BINS, newton=False, **options) -> tuple[TreeRegressor, Column]:
+    """Log-loss of a 0/1 target: (score model, probability). Leaves are means of residuals, or Newton steps with ``newton`` (as in histogram boosting)."""
     cuts = thresholds(df, features, max_bins)
     p0 = df.agg(F.avg(F.col(y).cast("double"))).first()[0]
     m = TreeRegressor([], [], math.log(p0 / (1 - p0)))
     for _ in range(n_trees):
-        p = 1 / (1 + F.exp(-m.predict()))
-        h = F.greatest(p * (1 - p), F.lit(1e-9))
-        m.trees.append(grow(df, features, [(F.col(y) - p) / h], [h], "mse", max_depth=max_depth, cuts=cuts, min_leaf=0, **{k: v for k, v in options.items() if k != "min_leaf"})[0])
+        m.trees.append(_residuals(df, features, F.col(y), 1 / (1 + F.exp(-m.predict())), max_depth, cuts, newton, options))
         m.scale.append(rate)
     return m, 1 / (1 + F.exp(-m.predict()))
 
 
+@dataclass
+class BoostedClassifier:
+    """A score model for each class; probabilities are their softmax."""
+
+    classes: list
+    scores: list[TreeRegressor]
+
+    def probabilities(self) -> list[Column]:
+        z = [m.predict() for m in self.scores]
+        return [1 / reduce(lambda a, b: a + b, [F.exp(other - own) for other in z]) for own in z]
+
+    def predict(self) -> Column:
+        """The class of the highest score, the first of equals."""
+        best = F.greatest(*[F.struct(m.predict().alias("s"), F.lit(-k).alias("k")) for k, m in enumerate(self.scores)])
+        return F.element_at(F.array(*map(F.lit, self.classes)), 1 - best["k"])
+
+
+def gradient_boosting_multiclass(df, features, y, n_trees=20, rate=0.1, max_depth=3, max_bins=MAX_BINS, newton=False, **options) -> BoostedClassifier:
+    """Log-loss of two or more classes: a tree for each class and round, all of a round on the probabilities before it; scores start at the logs of the classes' shares."""
+    cuts, counts = thresholds(df, features, max_bins), sorted((r[0], r[1]) for r in df.where(F.col(y).isNotNull()).groupBy(y).count().collect())
+    if len(counts) < 2:
+        raise ValueError("boosting needs two classes or more")
+    n = sum(c for _, c in counts)
+    m = BoostedClassifier([k for k, _ in counts], [TreeRegressor([], [], math.log(c / n)) for _, c in counts])
+    for _ in range(n_trees):
+        p = m.probabilities()
+        trees = [_residuals(df, features, (F.col(y) == k).cast("double"), p[i], max_depth, cuts, newton, options) for i, k in enumerate(m.classes)]
+        for score, t in zip(m.scores, trees, strict=True):
+            score.trees.append(t)
+            score.scale.append(rate)
+    return m
+
+
 def adaboost_classifier(df, features, y, n_trees=10, rate=1.0, **options) -> TreeClassifier:
     """Stumps on weights: a factor for each row, kept as an expression of the stumps before; stops when a stump is no better than chance."""
     c, cuts = _classes(df, y), thresholds(df, features)

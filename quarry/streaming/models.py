@@ -90,12 +90,101 @@ class PartialSGD:
             return
         self.t += 1
         w = self.w if self.w is not None else np.zeros(len(self.features) + 1)
-        eta = {"constant": self.eta0, "invscaling": self.eta0 / self.t**self.power, "optimal": 1 / (self.alpha * self.t + 1)}[self.schedule]
+        eta = {"constant": self.eta0, "invscaling": self.eta0 / self.t**self.power, "optimal": 1 / (max(self.alpha, 1e-12) * self.t)}[self.schedule]
         penalty = self.alpha * w
         penalty[0] = 0
         self.w = w - eta * (np.array(r[1:], float) + penalty)
 
 
+#: The losses themselves, for the rule that stops.
+VALUES = {
+    "squared_error": lambda y, f: (f - y) ** 2 / 2,
+    "hinge": lambda y, f: F.greatest(F.lit(0.0), 1 - y * f),
+    "log_loss": lambda y, f: F.log1p(F.exp(-y * f)),
+    "modified_huber": lambda y, f: F.when(y * f < -1, -4 * y * f).otherwise(F.greatest(F.lit(0.0), 1 - y * f) ** 2),
+    "huber": lambda y, f: F.when(F.abs(f - y) <= 1, (f - y) ** 2 / 2).otherwise(F.abs(f - y) - 0.5),
+    "epsilon_insensitive": lambda y, f: F.greatest(F.lit(0.0), F.abs(y - f) - 0.1),
+}
+
+
+@dataclass
+class SGD:
+    """Linear models by epochs of mini-batch gradient steps. ``classes`` None: a regression; two classes: one score (-1 for the first); more: a score for each against the rest.
+
+    Rows are dealt to ``batches`` mini-batches by ``deal``, a function of the epoch that gives a column of batch numbers (a shuffle by hash, say); each batch is one aggregate for all
+    scores. Stops when the mean loss of an epoch moves by less than ``tol``. Classes are fixed by the first batch of ``partial_fit``."""
+
+    features: list[str]
+    y: str
+    loss: str = "squared_error"
+    eta0: float = 0.01
+    alpha: float = 1e-4
+    schedule: str = "invscaling"
+    power: float = 0.25
+    tol: float = 1e-3
+    classes: list | None = None
+    t: int = 0
+    w: np.ndarray | None = None
+
+    def _goals(self) -> list:
+        y = F.col(self.y)
+        if self.classes is None:
+            return [y]
+        return [F.when(y == k, 1.0).otherwise(-1.0) for k in (self.classes[1:] if len(self.classes) == 2 else self.classes)]
+
+    def scores(self) -> list:
+        w = self.w if self.w is not None else np.zeros((len(self._goals()), len(self.features) + 1))
+        return [sum((F.col(c) * float(x) for c, x in zip(self.features, v[1:], strict=True)), F.lit(float(v[0]))) for v in w]
+
+    def predict(self):
+        s = self.scores()
+        if self.classes is None:
+            return s[0]
+        if len(s) == 1:
+            return F.when(s[0] >= 0, F.lit(self.classes[1])).otherwise(F.lit(self.classes[0]))
+        best = F.greatest(*[F.struct(v.alias("s"), F.lit(-k).alias("k")) for k, v in enumerate(s)])
+        return F.element_at(F.array(*map(F.lit, self.classes)), 1 - best["k"])
+
+    def step(self, batch: DataFrame) -> tuple[float, int]:
+        """One gradient step; (sum of losses before it, rows)."""
+        goals, scores = self._goals(), self.scores()
+        aggs = [F.count("*")]
+        for y, f in zip(goals, scores, strict=True):
+            g = LOSSES[self.loss](y, f)
+            aggs += [F.sum(VALUES[self.loss](y, f)), F.avg(g), *[F.avg(g * F.col(c)) for c in self.features]]
+        r = batch.where(F.col(self.y).isNotNull()).agg(*aggs).first()
+        if not r[0]:
+            return 0.0, 0
+        self.t += 1
+        m = np.array(r[1:], float).reshape(len(goals), -1)
+        w = self.w if self.w is not None else np.zeros((len(goals), len(self.features) + 1))
+        eta = {"constant": self.eta0, "invscaling": self.eta0 / self.t**self.power, "optimal": 1 / (max(self.alpha, 1e-12) * self.t)}[self.schedule]
+        self.w = w - eta * (m[:, 1:] + self.alpha * w * (np.arange(w.shape[1]) > 0))
+        return float(m[:, 0].sum()), r[0]
+
+    def partial_fit(self, batch: DataFrame, classifier: bool = False) -> SGD:
+        if classifier and self.classes is None:
+            self.classes = sorted(r[0] for r in batch.select(self.y).where(F.col(self.y).isNotNull()).distinct().collect())
+            if len(self.classes) < 2:
+                raise ValueError("the first batch must hold two classes or more")
+        self.step(batch)
+        return self
+
+    def fit(self, df: DataFrame, deal, batches: int = 10, epochs: int = 20, classifier: bool = False) -> SGD:
+        if classifier:
+            self.classes = sorted(r[0] for r in df.select(self.y).where(F.col(self.y).isNotNull()).distinct().collect())
+            if len(self.classes) < 2:
+                raise ValueError("two classes or more")
+        before = float("inf")
+        for e in range(epochs):
+            done = [self.step(df.where(deal(e) == b)) for b in range(batches)]
+            mean = sum(v for v, _ in done) / max(1, sum(n for _, n in done))
+            if abs(before - mean) < self.tol:
+                break
+            before = mean
+        return self
+
+
 def each_batch(stream: DataFrame, update: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs ``update`` on all that is there, batch by batch, and stops."""
     q = stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
