@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of quarry.plans with a dict QUERIES {name: (function, SQL or None)}.
-MODULES: list[str] = ["metrics", "preprocess", "linear", "neighbors", "cluster", "trees", "streams", "kernel", "pairs", "rules"]
+MODULES: list[str] = ["metrics", "preprocess", "linear", "neighbors", "cluster", "trees", "streams", "kernel", "pairs", "rules", "numeric", "relations", "more"]
 FLAGSHIP = "regression_report"
 
 

@@ -213,9 +213,14 @@ def _plain(v):
     return v.item() if isinstance(v, np.generic) else v
 
 
+def model_bytes(model) -> bytes:
+    """A model of plain parameters as one JSON line with a version."""
+    return json.dumps({"version": 1, "model": _plain(model)}).encode()
+
+
 def save_model(model, path: str, spark: SparkSession) -> None:
-    """A model of plain parameters as one JSON line with a version, written where Spark can write."""
-    spark.createDataFrame([(json.dumps({"version": 1, "model": _plain(model)}),)], "value string").coalesce(1).write.text(path)
+    """What model_bytes gives, written where Spark can write."""
+    spark.createDataFrame([(model_bytes(model).decode(),)], "value string").coalesce(1).write.text(path)
 
 
 def _object(v):
@@ -226,14 +231,19 @@ def _object(v):
     return [_object(x) for x in v] if isinstance(v, list) else v
 
 
-def load_model(kind, path: str, spark: SparkSession):
-    """An object of class ``kind`` from what save_model wrote."""
-    saved = json.loads(spark.read.text(path).first()[0])
+def model_from_bytes(kind, data: bytes):
+    """An object of class ``kind`` from what model_bytes gave."""
+    saved = json.loads(data)
     if saved["version"] != 1 or saved["model"]["_type"] != kind.__name__:
-        raise ValueError(f"{path} holds another model or version")
+        raise ValueError("another model or version")
     return kind(**_object(saved["model"]))
 
 
+def load_model(kind, path: str, spark: SparkSession):
+    """An object of class ``kind`` from what save_model wrote."""
+    return model_from_bytes(kind, spark.read.text(path).first()[0].encode())
+
+
 def pmml_linear(features: list[str], coef, intercept: float, target: str) -> str:
     """A linear regression model as PMML 4.4."""
     from xml.sax.saxutils import quoteattr
