@@ -12,7 +12,10 @@ from quarry.plans.linear import DATA, XS, data, solved
 from quarry.plans.metrics import _t
 from quarry.sources import datasets, io
 
-TOTALS = {"n": F.count("*"), "quantity": F.sum("l_quantity")}
+def totals():
+    return {"n": F.count("*"), "quantity": F.sum("l_quantity")}
+
+
 SUMMED = "SELECT l_returnflag, l_linestatus, GROUPING(l_returnflag, l_linestatus)::BIGINT AS grouping_id, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY "
 
 
@@ -99,9 +102,9 @@ def longs(df):
 
 
 QUERIES = {
-    "grouping_sets": (lambda s, d: R.grouping_sets(_t(s, d, "lineitem"), [["l_returnflag", "l_linestatus"], ["l_linestatus"], []], TOTALS), SUMMED + "GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())"),
-    "cube": (lambda s, d: R.cube(_t(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], TOTALS), SUMMED + "CUBE (l_returnflag, l_linestatus)"),
-    "rollup": (lambda s, d: R.rollup(_t(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], TOTALS), SUMMED + "ROLLUP (l_returnflag, l_linestatus)"),
+    "grouping_sets": (lambda s, d: R.grouping_sets(_t(s, d, "lineitem"), [["l_returnflag", "l_linestatus"], ["l_linestatus"], []], totals()), SUMMED + "GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())"),
+    "cube": (lambda s, d: R.cube(_t(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], totals()), SUMMED + "CUBE (l_returnflag, l_linestatus)"),
+    "rollup": (lambda s, d: R.rollup(_t(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], totals()), SUMMED + "ROLLUP (l_returnflag, l_linestatus)"),
     "as_of_join": (joined, "WITH e AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS t FROM events), p AS (SELECT user_id, t, max(event_id) AS bought FROM e WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT event_id, e.user_id, e.t, bought AS asof_bought FROM (FROM e WHERE event_type <> 'purchase') e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.t >= p.t"),
     "semi_anti_join": (lambda s, d: (c := _t(s, d, "customer")).join(o := _t(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.lit("semi").alias("kind"), "c_custkey").union(c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("anti"), "c_custkey")), "SELECT CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'semi' ELSE 'anti' END AS kind, c_custkey FROM customer"),
     "distinct_rows": (lambda s, d: _t(s, d, "lineitem").select("l_returnflag", "l_linestatus", "l_tax").distinct(), "SELECT DISTINCT l_returnflag, l_linestatus, l_tax FROM lineitem"),
