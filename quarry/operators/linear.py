@@ -678,6 +678,65 @@ def pls_svd(g: Gram, k: int, scale: bool = True) -> tuple[np.ndarray, np.ndarray
     return u[:, :k], vt[:k].T
 
 
+@dataclass
+class Pairing:
+    """Scores of two sets of columns: ``x`` and ``y`` turn deviations (scaled by ``scale``) into them."""
+
+    features: list[str]
+    targets: list[str]
+    mean: np.ndarray
+    scale: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with u0, u1, ... of the features and v0, v1, ... of the targets."""
+        c, d = self.features + self.targets, len(self.features)
+        z = [(F.col(n) - float(m)) / float(s) for n, m, s in zip(c, self.mean, self.scale, strict=True)]
+        side = lambda name, part, w: {f"{name}{k}": reduce(lambda a, b: a + b, [e * float(v) for e, v in zip(part, w[:, k], strict=True)]) for k in range(w.shape[1])}
+        return df.withColumns(side("u", z[:d], self.x) | side("v", z[d:], self.y))
+
+
+def pairing(g: Gram, k: int, mode: str = "canonical", scale: bool = True) -> Pairing:
+    """Canonical partial least squares (directions of the largest covariance), or ``cca`` (of the largest correlation): after each component both sides lose what their own score explains.
+    Works on products alone; the largest entry of each direction of the features is positive."""
+    d, c = len(g.features), g.centered()
+    s = np.sqrt(np.diag(c) / (g.n - 1)) if scale else np.ones(len(c))
+    s[s == 0] = 1
+    c = c / np.outer(s, s)
+    xx, xy, yy = c[:d, :d], c[:d, d:], c[d:, d:]
+    ws, cs, ps, qs = [], [], [], []
+    for _ in range(k):
+        if mode == "cca":
+            lx, ly = (_root_inverse(z) for z in (xx, yy))
+            u, size, v = np.linalg.svd(lx @ xy @ ly)
+            w, v = lx @ u[:, 0], ly @ v[0]
+        else:
+            u, size, v = np.linalg.svd(xy)
+            w, v = u[:, 0], v[0]
+        if size[0] < 1e-12 or not np.linalg.norm(w) or not np.linalg.norm(v):
+            break
+        turn = np.sign(w[np.abs(w).argmax()])
+        w, v = turn * w / np.linalg.norm(w), turn * v / np.linalg.norm(v)
+        tt, uu, tu = w @ xx @ w, v @ yy @ v, w @ xy @ v
+        p, q = xx @ w / tt, yy @ v / uu
+        for out, one in ((ws, w), (cs, v), (ps, p), (qs, q)):
+            out.append(one)
+        xy = xy - np.outer(p, xy.T @ w) - np.outer(xy @ v, q) + tu * np.outer(p, q)
+        xx, yy = xx - tt * np.outer(p, p), yy - uu * np.outer(q, q)
+    if not ws:
+        raise ValueError("features and targets share nothing")
+    w, c, p, q = (np.array(v).T for v in (ws, cs, ps, qs))
+    return Pairing(g.features, g.targets, g.mean(), s, w @ np.linalg.pinv(p.T @ w), c @ np.linalg.pinv(q.T @ c))
+
+
+def _root_inverse(m: np.ndarray) -> np.ndarray:
+    """The inverse of the root of a symmetric matrix within its own range."""
+    values, vectors = np.linalg.eigh(m)
+    some = values > 1e-10 * max(values.max(), 1e-300)
+    return vectors[:, some] / np.sqrt(values[some]) @ vectors[:, some].T
+
+
 def pls(g: Gram, k: int, mode: str = "regression", scale: bool = True) -> np.ndarray:
     """Coefficients (features, targets) of partial least squares on products alone. Modes: regression and canonical; ``cca`` whitens both sides first."""
     d, c = len(g.features), g.centered()

@@ -56,6 +56,21 @@ LLOYD = f"""WITH RECURSIVE {PART}, r AS (SELECT 0 AS it, k, x, y FROM (SELECT ro
 UNION ALL SELECT it + 1, k, avg(a), avg(b) FROM (SELECT it, a, b, k FROM p, r QUALIFY row_number() OVER (PARTITION BY i ORDER BY (a - x) ** 2 + (b - y) ** 2, k) = 1) WHERE it < 100 GROUP BY it, k),
 m AS (SELECT n.it, max(sqrt((n.x - o.x) ** 2 + (n.y - o.y) ** 2)) AS shift FROM r n JOIN r o ON n.it = o.it + 1 AND n.k = o.k GROUP BY 1)
 SELECT k::INT AS k, round(x, 4) AS a, round(y, 4) AS b FROM r WHERE it = (SELECT min(it) FROM m WHERE shift < 1e-4)"""
+
+
+def mixed(rounds: int, tol: str) -> str:
+    """SQL of rounds of expectation and maximisation for two components from the two smallest keys; ends once the mean log-likelihood moves by less than ``tol``."""
+    density = ", ".join(f"ln(u{j}) - ln(2 * pi()) - ln(p{j} * q{j} - o{j} * o{j}) / 2 - ((a - a{j}) ** 2 * q{j} - 2 * (a - a{j}) * (b - b{j}) * o{j} + (b - b{j}) ** 2 * p{j}) / (p{j} * q{j} - o{j} * o{j}) / 2 AS d{j}" for j in (1, 2))
+    sums = ", ".join(f"sum(r{j}) AS n{j}, sum(r{j} * a) / sum(r{j}) AS a{j}, sum(r{j} * b) / sum(r{j}) AS b{j}, sum(r{j} * a * a) / sum(r{j}) AS aa{j}, sum(r{j} * a * b) / sum(r{j}) AS ab{j}, sum(r{j} * b * b) / sum(r{j}) AS bb{j}" for j in (1, 2))
+    new = ", ".join(f"n{j} / (n1 + n2), a{j}, b{j}, aa{j} - a{j} * a{j} + 1e-6, ab{j} - a{j} * b{j}, bb{j} - b{j} * b{j} + 1e-6" for j in (1, 2))
+    start = ", ".join(f"0.5::DOUBLE AS u{j}, s.a[{j}] AS a{j}, s.b[{j}] AS b{j}, va AS p{j}, 0.0::DOUBLE AS o{j}, vb AS q{j}" for j in (1, 2))
+    return f"""WITH RECURSIVE {PART}, s AS (SELECT list(a ORDER BY i) AS a, list(b ORDER BY i) AS b FROM (FROM p ORDER BY i LIMIT 2)), v AS (SELECT var_pop(a) + 1e-6 AS va, var_pop(b) + 1e-6 AS vb FROM p),
+r AS (SELECT 0 AS it, -1e300::DOUBLE AS ll, false AS done, {start} FROM s, v
+UNION ALL SELECT it + 1, nl, abs(nl - ll) < {tol}, {new} FROM (SELECT it, ll, avg(lse) AS nl, {sums} FROM (SELECT *, exp(d1 - lse) AS r1, exp(d2 - lse) AS r2 FROM (SELECT *, greatest(d1, d2) + ln(exp(d1 - greatest(d1, d2)) + exp(d2 - greatest(d1, d2))) AS lse
+FROM (SELECT it, ll, p.a, p.b, {density.replace("(a -", "(p.a -").replace("(b -", "(p.b -")} FROM r, p WHERE NOT done AND it < {rounds}))) GROUP BY it, ll)), l AS (FROM r ORDER BY it DESC LIMIT 1)
+SELECT 0 AS k, round(a1, 4) AS a, round(b1, 4) AS b FROM l UNION ALL SELECT 1, round(a2, 4), round(b2, 4) FROM l"""
+
+
 #: An edge is in the tree when edges before it, by weight and then ends, don't connect its ends.
 SPANNING = f"""WITH RECURSIVE {EDGES}, d AS (SELECT least(u, v) AS u, greatest(u, v) AS v, min(w)::DOUBLE AS w FROM e WHERE u <> v GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (ORDER BY w, u, v) AS n FROM d), b AS (SELECT u, v, n FROM o UNION ALL SELECT v, u, n FROM o),
 r AS (SELECT n, u AS node FROM o UNION SELECT r.n, b.v FROM r JOIN b ON b.u = r.node AND b.n < r.n) SELECT count(*) AS edges, sum(w) AS weight FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.n = o.n AND r.node = o.v)"""
@@ -65,7 +80,7 @@ QUERIES = {
     "kmeans": (centers(lambda x: C.kmeans(x, P, C.first_rows(x, P, "i", 3)).centers), LLOYD),
     "mini_batch_kmeans": (centers(lambda x: C.mini_batch_kmeans(x, P, C.first_rows(x, P, "i", 3)).centers), None),
     "bisecting_kmeans": (centers(lambda x: C.bisecting_kmeans(x, P, 4).centers), None),
-    "gaussian_mixture": (centers(lambda x: C.gaussian_mixture(x, P, C.first_rows(x, P, "i", 2), max_iter=10).means), None),
+    "gaussian_mixture": (centers(lambda x: C.gaussian_mixture(x, P, C.first_rows(x, P, "i", 2), max_iter=10).means), mixed(10, "1e-3")),
     "mean_shift": (centers(lambda x: C.mean_shift(x, P, 1.0, C.first_rows(x, P, "i", 6))), None),
     "dbscan": (lambda s, d: C.dbscan(part(s, d), P, "i", 0.05, 4), f"""WITH RECURSIVE {PART}, q AS (SELECT * FROM p), n AS (SELECT x.i, y.i AS j FROM q x, q y WHERE sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) <= 0.05), c AS (SELECT i FROM n GROUP BY i HAVING count(*) >= 4),
 l AS (SELECT n.i, n.j FROM n JOIN c ON n.i = c.i JOIN c c2 ON n.j = c2.i), r AS (SELECT i, i AS k FROM c UNION SELECT l.j, r.k FROM r JOIN l ON r.i = l.i), m AS (SELECT i, min(k) AS root FROM r GROUP BY 1), z AS (SELECT i, dense_rank() OVER (ORDER BY root) - 1 AS label FROM m)

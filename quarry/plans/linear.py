@@ -88,6 +88,25 @@ o AS (SELECT x.f, sum(z.n) AS n, sum(z.a) / sum(z.n) AS ma, sum(z.b) / sum(z.n)
 w AS (SELECT f, alpha, ma, mb, my, (ay * (bb + alpha) - yb * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wa, (yb * (aa + alpha) - ay * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wb FROM o, (VALUES (0.1::DOUBLE), (1.0), (10.0)) v(alpha)),
 e AS (SELECT alpha, (m.yy - 2 * (i * m.y + wa * m.ay + wb * m.yb) + i * i * n + 2 * i * (wa * m.a + wb * m.b) + wa * wa * m.aa + 2 * wa * wb * m.ab + wb * wb * m.bb) / n AS mse FROM m JOIN (SELECT *, my - wa * ma - wb * mb AS i FROM w) USING (f)),
 k AS (SELECT alpha FROM e GROUP BY 1 ORDER BY avg(mse), alpha LIMIT 1), last AS (SELECT (ay * (bb + alpha) - yb * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wa, (yb * (aa + alpha) - ay * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) AS wb FROM g, k) """ + TERMS
+def descended(candidates: str) -> str:
+    """SQL of coordinate descent for each of ``candidates`` (c, l1, l2) on all folds but one, judged on that one; the best is fitted to all rows (fold -1)."""
+    step = "sign({x} - ab * {o}) * greatest(abs({x} - ab * {o}) - l1, 0) / ({d} + l2)"
+    return f"""WITH RECURSIVE {DATA}, m AS (SELECT f::BIGINT AS f, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(y) AS y, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS yb, sum(y * y) AS yy FROM t GROUP BY f),
+q AS (SELECT x.f, sum(n) AS n, sum(a) AS a, sum(b) AS b, sum(y) AS y, sum(aa) AS aa, sum(ab) AS ab, sum(bb) AS bb, sum(ay) AS ay, sum(yb) AS yb FROM (SELECT f FROM m UNION ALL SELECT -1) x JOIN m ON m.f <> x.f GROUP BY 1),
+o AS (SELECT f, a / n AS ma, b / n AS mb, y / n AS my, aa / n - (a / n) ** 2 AS aa, ab / n - a * b / n / n AS ab, bb / n - (b / n) ** 2 AS bb, ay / n - a * y / n / n AS ay, yb / n - b * y / n / n AS yb FROM q),
+v AS ({candidates}), r AS (SELECT 0 AS it, f, c, 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb, 1e9::DOUBLE AS shift FROM o, v UNION ALL SELECT it + 1, f, c, na, nb, greatest(abs(na - wa), abs(nb - wb))
+FROM (SELECT *, {step.format(x="yb", o="na", d="bb")} AS nb FROM (SELECT *, {step.format(x="ay", o="wb", d="aa")} AS na FROM r JOIN o USING (f) JOIN v USING (c) WHERE shift >= 1e-4 AND it < 1000))),
+l AS (SELECT f, c, wa, wb, my - wa * ma - wb * mb AS i FROM (FROM r QUALIFY row_number() OVER (PARTITION BY f, c ORDER BY it DESC) = 1) JOIN o USING (f)),
+e AS (SELECT c, avg((yy - 2 * (i * y + wa * ay + wb * yb) + i * i * n + 2 * i * (wa * a + wb * b) + wa * wa * aa + 2 * wa * wb * ab + wb * wb * bb) / n) AS mse FROM l JOIN m USING (f) GROUP BY c),
+last AS (SELECT l.* FROM l JOIN (SELECT c FROM e ORDER BY mse, c LIMIT 1) USING (c) WHERE f = -1)
+SELECT 'a' AS term, round(wa, 5) AS value FROM last UNION ALL SELECT 'b', round(wb, 5) FROM last UNION ALL SELECT 'intercept', round(i, 5) FROM last"""
+
+
+def path(ratios: str) -> str:
+    """SQL of 20 alphas for each share of the first penalty, from the least that leaves no weight."""
+    return f"SELECT 20 * r + k AS c, alpha * ratio AS l1, alpha * (1 - ratio) AS l2 FROM (SELECT r, k, ratio, top / ratio * 10 ** (-3 * k / 19) AS alpha FROM (SELECT greatest(abs(ay), abs(yb)) AS top FROM o WHERE f = -1), (VALUES {ratios}) x(r, ratio), (SELECT unnest(range(20)) AS k))"
+
+
 #: The class with the largest least-squares score of its indicator.
 REST = f"""WITH {DATA}, q AS (SELECT k.c AS p, a, b, (t.c = k.c)::INT::DOUBLE AS y FROM t, (SELECT DISTINCT c FROM t) k), g AS (SELECT p, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM q GROUP BY p),
 k AS (SELECT a, b, c, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT k.*, p, my + (a - ma) * (ay * bb - yb * ab) / (aa * bb - ab * ab) + (b - mb) * (yb * aa - ay * ab) / (aa * bb - ab * ab) AS z FROM k, g) SELECT c, p, sum(n)::BIGINT AS n FROM (FROM r QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY z DESC, p) = 1) GROUP BY 1, 2"""
@@ -112,8 +131,8 @@ QUERIES = {
     "ridge_cv": (coefficients(lambda x: L.ridge_cv(x, XS, "y", "f")[0]), FOLDS),
     "lasso": (coefficients(lambda x: L.lasso(L.gram(x, ["a"], ["y"]), 0.5)), f"WITH {DATA}, w AS (SELECT sign(covar_pop(a, y)) * greatest(abs(covar_pop(a, y)) - 0.5, 0) / var_pop(a) AS w, avg(a) AS ma, avg(y) AS my FROM t) SELECT 'a' AS term, round(w, 5) AS value FROM w UNION ALL SELECT 'intercept', round(my - w * ma, 5) FROM w"),
     "elastic_net": (coefficients(lambda x: L.elastic_net(L.gram(x, ["a"], ["y"]), 0.4, 0.25)), f"WITH {DATA}, w AS (SELECT sign(covar_pop(a, y)) * greatest(abs(covar_pop(a, y)) - 0.1, 0) / (var_pop(a) + 0.3) AS w, avg(a) AS ma, avg(y) AS my FROM t) SELECT 'a' AS term, round(w, 5) AS value FROM w UNION ALL SELECT 'intercept', round(my - w * ma, 5) FROM w"),
-    "lasso_cv": (coefficients(lambda x: L.lasso_cv(x, XS, "y", "f", n_alphas=20)[0]), None),
-    "elastic_net_cv": (coefficients(lambda x: L.elastic_net_cv(x, XS, "y", "f")[0]), None),
+    "lasso_cv": (coefficients(lambda x: L.lasso_cv(x, XS, "y", "f", n_alphas=20)[0]), descended(path("(0, 1.0::DOUBLE)"))),
+    "elastic_net_cv": (coefficients(lambda x: L.elastic_net_cv(x, XS, "y", "f")[0]), descended(path("(0, 0.1::DOUBLE), (1, 0.5), (2, 0.9)"))),
     "bayesian_ridge": (coefficients(lambda x: L.bayesian_ridge(L.gram(x, XS, ["y"]))), EVIDENCE),
     "ard_regression": (coefficients(lambda x: L.ard(L.gram(x, XS, ["y"]))), RELEVANCE),
     "orthogonal_matching_pursuit": (coefficients(lambda x: L.omp(L.gram(x, XS, ["y"]), 2)), solved("0")),

@@ -139,7 +139,32 @@ ONE = CORR + ", q AS (SELECT *, (u * u + v * v) / (u * u + v * v + 2 * r * u * v
 #: Against one target, the direction of the highest correlation is that of least squares.
 MOST = CORR + ", q AS (SELECT *, (u - r * v) / (1 - r * r) AS x, (v - r * u) / (1 - r * r) AS z FROM m) SELECT 'a' AS term, round(x * sy / sa, 4) AS value FROM q UNION ALL SELECT 'b', round(z * sy / sb, 4) FROM q"
 
+def sides(mode, k):
+    return lambda x: L.pairing(L.gram(x, XS, ["y", "s"]), k, mode)
+
+
+def agreement(s, d):
+    """Correlations of the scores of both sides."""
+    x = data(s, d)
+    z = sides("cca", 2)(x).transform(x)
+    return rounded(z.agg(F.corr("u0", "v0").alias("first"), F.corr("u1", "v1").alias("second"), F.corr("u0", "u1").alias("between")), 4)
+
+
+def directions(s, d):
+    m = sides("canonical", 1)(data(s, d))
+    return rounded(s.createDataFrame([(c, float(v)) for c, v in zip([*XS, "y", "s"], np.r_[m.x[:, 0], m.y[:, 0]], strict=True)], "term string, value double"), 4)
+
+
+CROSS = f"WITH {DATA}, m AS (SELECT corr(a, b) AS r, corr(y, s) AS q, corr(a, y) AS ay, corr(a, s) AS az, corr(b, y) AS yb, corr(b, s) AS zb FROM t)"
+#: The squares of both correlations are the eigenvalues of a product of two-by-two matrices.
+AGREEMENT = CROSS + """, i AS (SELECT (ay - r * yb) / (1 - r * r) AS p, (az - r * zb) / (1 - r * r) AS o, (yb - r * ay) / (1 - r * r) AS u, (zb - r * az) / (1 - r * r) AS v, (ay - q * az) / (1 - q * q) AS e, (yb - q * zb) / (1 - q * q) AS f, (az - q * ay) / (1 - q * q) AS g, (zb - q * yb) / (1 - q * q) AS h FROM m),
+k AS (SELECT p * e + o * g AS k1, p * f + o * h AS k2, u * e + v * g AS k3, u * f + v * h AS k4 FROM i), x AS (SELECT (k1 + k4) / 2 AS half, sqrt(((k1 + k4) / 2) ** 2 - (k1 * k4 - k2 * k3)) AS d FROM k) SELECT round(sqrt(half + d), 4) AS first, round(sqrt(half - d), 4) AS second, 0.0::DOUBLE AS between FROM x"""
+DIRECTIONS = CROSS + """, k AS (SELECT *, atan2(2 * (ay * yb + az * zb), ay * ay + az * az - yb * yb - zb * zb) / 2 AS w FROM m), x AS (SELECT *, cos(w) * z AS wa, sin(w) * z AS wb FROM (SELECT *, CASE WHEN abs(cos(w)) >= abs(sin(w)) THEN sign(cos(w)) ELSE sign(sin(w)) END AS z FROM k)),
+c AS (SELECT wa, wb, ay * wa + yb * wb AS cy, az * wa + zb * wb AS cs FROM x) SELECT 'a' AS term, round(wa, 4) AS value FROM c UNION ALL SELECT 'b', round(wb, 4) FROM c UNION ALL SELECT 'y', round(cy / sqrt(cy * cy + cs * cs), 4) FROM c UNION ALL SELECT 's', round(cs / sqrt(cy * cy + cs * cs), 4) FROM c"""
+
 QUERIES = {
+    "cca": (agreement, AGREEMENT),
+    "pls_canonical": (directions, DIRECTIONS),
     "select_fpr": (features(lambda x, v: P.select_fpr(chances(v), 0.01)), f"WITH {CHANCES} SELECT feature FROM p WHERE p < 0.01"),
     "select_fwe": (features(lambda x, v: P.select_fwe(chances(v), 0.01)), f"WITH {CHANCES} SELECT feature FROM p WHERE p < 0.01 / 4"),
     "select_fdr": (features(lambda x, v: P.select_fdr(chances(v), 0.01)), f"WITH {CHANCES} SELECT feature FROM p WHERE p <= (SELECT max(p) FROM (SELECT p, row_number() OVER (ORDER BY p) AS i FROM p) WHERE p <= 0.01 * i / 4)"),

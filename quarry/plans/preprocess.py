@@ -46,7 +46,10 @@ QUERIES = {
     "polynomial_features": (lambda s, d: rounded(P.polynomial(_t(s, d, "lineitem").select(*KEY, "l_quantity", "l_discount"), ["l_quantity", "l_discount"])), f"SELECT {K}, l_quantity, l_discount, 1.0::DOUBLE AS poly_0, l_quantity AS poly_1, l_discount AS poly_2, round(l_quantity * l_quantity, 6) AS poly_3, round(l_quantity * l_discount, 6) AS poly_4, round(l_discount * l_discount, 6) AS poly_5 FROM lineitem"),
     "kbins_uniform": (lambda s, d: P.kbins(p := _t(s, d, "part").select("p_partkey", "p_retailprice"), ["p_retailprice"]).transform(p), "WITH z AS (SELECT min(p_retailprice) AS a, max(p_retailprice) AS b FROM part) SELECT p_partkey, ((p_retailprice >= a + (b - a) * 1 / 5)::INT + (p_retailprice >= a + (b - a) * 2 / 5)::INT + (p_retailprice >= a + (b - a) * 3 / 5)::INT + (p_retailprice >= a + (b - a) * 4 / 5)::INT)::DOUBLE AS p_retailprice FROM part, z"),
     "kbins_quantile": (lambda s, d: P.kbins(p := _t(s, d, "part").select("p_partkey", "p_size"), ["p_size"], 4, "quantile").transform(p), "WITH z AS (SELECT quantile_cont(p_size, [0.25, 0.5, 0.75]) AS q FROM part) SELECT p_partkey, ((p_size >= q[1])::INT + (p_size >= q[2])::INT + (p_size >= q[3])::INT)::DOUBLE AS p_size FROM part, z"),
-    "kbins_kmeans": (lambda s, d: P.kbins(p := _t(s, d, "part").select("p_partkey", "p_size"), ["p_size"], 3, "kmeans").transform(p), None),
+    "kbins_kmeans": (lambda s, d: P.kbins(p := _t(s, d, "part").select("p_partkey", "p_size"), ["p_size"], 3, "kmeans").transform(p), """
+WITH RECURSIVE s AS (SELECT min(p_size) AS a, (max(p_size) - min(p_size)) / 3 AS w FROM part), g AS (SELECT p_size::DOUBLE AS v, count(*) AS n FROM part GROUP BY 1), r AS (SELECT 0 AS it, a + w / 2 AS x, a + w * 1.5 AS y, a + w * 2.5 AS z, true AS moved FROM s
+UNION ALL SELECT it + 1, u, v, w, u <> x OR v <> y OR w <> z FROM (SELECT it, x, y, z, coalesce(sum(g.v * n) FILTER (g.v < (x + y) / 2) / sum(n) FILTER (g.v < (x + y) / 2), x) AS u, coalesce(sum(g.v * n) FILTER (g.v >= (x + y) / 2 AND g.v < (y + z) / 2) / sum(n) FILTER (g.v >= (x + y) / 2 AND g.v < (y + z) / 2), y) AS v,
+coalesce(sum(g.v * n) FILTER (g.v >= (y + z) / 2) / sum(n) FILTER (g.v >= (y + z) / 2), z) AS w FROM r, g WHERE moved AND it < 300 GROUP BY it, x, y, z)), l AS (FROM r ORDER BY it DESC LIMIT 1) SELECT p_partkey, ((p_size >= (x + y) / 2)::INT + (p_size >= (y + z) / 2)::INT)::DOUBLE AS p_size FROM part, l"""),
     "quantile_transformer": (lambda s, d: rounded(P.quantile_transformer(p := _t(s, d, "part").select("p_partkey", "p_retailprice"), ["p_retailprice"], 5).transform(p)), """
 WITH z AS (SELECT quantile_cont(p_retailprice, 0) AS a, quantile_cont(p_retailprice, 0.25) AS b, quantile_cont(p_retailprice, 0.5) AS c, quantile_cont(p_retailprice, 0.75) AS e, quantile_cont(p_retailprice, 1) AS f FROM part)
 SELECT p_partkey, round(CASE WHEN p_retailprice < b THEN (p_retailprice - a) / (b - a) WHEN p_retailprice < c THEN 1 + (p_retailprice - b) / (c - b) WHEN p_retailprice < e THEN 2 + (p_retailprice - c) / (e - c) ELSE 3 + (p_retailprice - e) / (f - e) END / 4, 6) AS p_retailprice FROM part, z"""),

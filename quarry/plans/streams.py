@@ -47,7 +47,9 @@ WITH t AS (SELECT epoch(date_trunc('day', ts))::BIGINT AS d, value FROM events),
     "session_window": (lambda s, d: S.sessions(s.read.parquet(f"{d}/events.parquet"), "ts", "1 hour", "30 minutes", "user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events")), """
 WITH t AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) SELECT count(*) FILTER (p IS NULL OR ts >= p + INTERVAL 30 MINUTE) AS sessions, count(*) AS events FROM t"""),
     "stream_class_moments": (lambda s, d: rounded(drained(S.class_moments(stream(s, d, "events"), ["value"], "event_type")), 3), "SELECT event_type, count(*) AS n, round(sum(value), 3) AS s_value, round(sum(value * value), 3) AS q_value FROM events GROUP BY 1"),
-    "partial_fit_sgd": (sgd, None),
+    "partial_fit_sgd": (sgd, """
+WITH RECURSIVE g AS (SELECT avg(l_quantity / 50) AS a, avg(l_quantity / 50 * l_quantity / 50) AS aa, avg(l_quantity / 25 + 1) AS y, avg(l_quantity / 50 * (l_quantity / 25 + 1)) AS ay FROM lineitem),
+r AS (SELECT 0 AS it, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS wa UNION ALL SELECT it + 1, w0 - 0.5 * (w0 + wa * a - y), wa - 0.5 * (w0 * a + wa * aa - ay) FROM r, g WHERE it < 25) SELECT round(w0, 1) AS intercept, round(wa, 1) AS slope FROM r WHERE it = 25"""),
     "make_regression": (lambda s, d: rounded(L.ols(L.gram(x := io.make_regression(s, 2000, 2), ["x0", "x1"], ["y"])).table(x).where("term = 'intercept'"), 3), "SELECT 'intercept' AS term, 0.0::DOUBLE AS value"),
     "make_blobs": (lambda s, d: io.make_blobs(s, 900, 3).groupBy("label").agg(F.count("*").alias("n")), "SELECT range::INT AS label, 300::BIGINT AS n FROM range(3)"),
     "sparse_triplets": (lambda s, d: io.spmm(io.transpose(t := io.to_triplets(s.read.parquet(f"{d}/nation.parquet"), "n_nationkey", ["n_nationkey", "n_regionkey"])), t), """

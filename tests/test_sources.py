@@ -1,4 +1,4 @@
-"""Files fetched, named data sets, model bytes, grouping sets and the as-of join on odd rows."""
+"""Files fetched, named data sets, model bytes, grouping sets, the as-of join on odd rows, boosting, gradient steps and paired components."""
 
 import hashlib
 from collections import Counter
@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.special import Dirichlet
+from quarry.operators import linear as L
 from quarry.operators import relational as R
 from quarry.operators import trees as T
 from quarry.operators.linear import LinearModel
@@ -96,3 +97,24 @@ def test_sgd_classes(spark):
     assert part.t == 1 and part.partial_fit(df.where("false")).t == 1
     with pytest.raises(ValueError):
         SGD(["a"], "c", "hinge").partial_fit(df.where("c = 'low'"), True)
+
+
+def test_pairing_by_rows(spark):
+    """Directions from products equal those of the power method on the rows themselves, deflated by both scores."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 3))
+    y = np.column_stack([x[:, 0] + rng.normal(size=200), x[:, 1] - x[:, 2], rng.normal(size=200)])
+    df = spark.createDataFrame(np.column_stack([x, y]).tolist(), "a double, b double, c double, y double, z double, w double")
+    m = L.pairing(L.gram(df, ["a", "b", "c"], ["y", "z", "w"]), 2)
+    got = np.array(m.transform(df).select("u0", "u1", "v0", "v1").collect())
+    x, y = ((v - v.mean(0)) / v.std(0, ddof=1) for v in (x, y))
+    for k in range(2):
+        u = y[:, 0]
+        for _ in range(2000):
+            w = x.T @ u / np.linalg.norm(x.T @ u)
+            t = x @ w
+            c = y.T @ t / np.linalg.norm(y.T @ t)
+            u = y @ c
+        turn = np.sign(w[np.abs(w).argmax()])
+        assert np.allclose(got[:, k], turn * t, atol=1e-6) and np.allclose(got[:, 2 + k], turn * u, atol=1e-6)
+        x, y = x - np.outer(t, x.T @ t / (t @ t)), y - np.outer(u, y.T @ u / (u @ u))
