@@ -2,7 +2,7 @@
 
 Candidates are runs of at least RUN characters [A-Za-z0-9+/_-] with a letter and a digit, values assigned to names such as `password` or `token`, and
 headers of private keys. Features of each: length, shares of kinds of characters, transitions between characters (mean log-probability
-under counts over the whole corpus), coverage by a dictionary, the path, and the words around. A forest
+under counts over the whole corpus), coverage by a dictionary (the common words of the whole corpus, and some of programs), the path, and the words around. A forest
 trained on labelled findings decides. Findings come with a hash of the value, never the value itself.
 
 Defined cases: null, empty and short texts have no findings; a value that occurs again is a finding each time; repeated rows are reported each; an empty table gives no
@@ -15,6 +15,7 @@ import functools
 import hashlib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._arrays import blocks, column
+from quarry.llm._shared import release, written
 
 RUN = 16
 SCHEMA = "doc_id long, start long, length long, kind string, value_sha256 string, score double, is_secret boolean"
@@ -48,7 +50,14 @@ _CLASS[97:123] = np.arange(26)
 _CLASS[65:91] = np.arange(26)
 _CLASS[48:58] = 26
 CLASSES = 28
-_DICTIONARY = re.compile("|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))))
+#: Corpus words of the dictionary: a-z, LETTERS long, at least one in WORD_SHARE of all words, so there are at most that many (0.5 MB), whatever the corpus.
+WORD_SHARE = 20_000
+LETTERS = (4, 24)
+#: Different words that a task holds before it sends its counts on.
+HELD_WORDS = 200_000
+#: Bytes of a text whose words are split at once; a piece ends at a space.
+PIECE = 1 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
 @dataclass(frozen=True)
@@ -60,7 +69,18 @@ class Finding:
     assigned: bool = False
 
 
-def features(f: Finding, transitions: np.ndarray) -> list[float]:
+def covered(low: str, words: frozenset[str]) -> int:
+    """Characters of ``low`` within words, taken from the left, the longest first."""
+    total = 0
+    for part in re.findall("[a-z]{3,}", low):
+        at = 0
+        while at < len(part):
+            k = next((k for k in range(min(LETTERS[1], len(part) - at), 2, -1) if part[at : at + k] in words), 0)
+            total, at = total + k, at + (k or 1)
+    return total
+
+
+def features(f: Finding, transitions: np.ndarray, words: frozenset[str] = frozenset(DICTIONARY)) -> list[float]:
     v, n = f.value, max(1, len(f.value))
     low, near = v.lower(), f"{f.before} {f.after}".lower()
     raw = np.frombuffer(v.encode(), np.uint8)
@@ -75,7 +95,7 @@ def features(f: Finding, transitions: np.ndarray) -> list[float]:
         sum(not x.isalnum() for x in v) / n,
         float(transitions[c[:-1], c[1:]].mean()) if len(c) > 1 else 0.0,
         float(-(share * np.log2(share)).sum()),
-        sum(len(w) for w in _DICTIONARY.findall(low)) / n,
+        covered(low, words) / n,
         float(sum(w in near for w in KEY_WORDS)),
         float(sum(w in near or w in low for w in PLACEHOLDERS)),
         float(sum(bool(re.search(rf"\b{w}", near)) for w in OTHER_WORDS)),
@@ -164,6 +184,7 @@ class Forest:
 
     trees: tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], ...]
     transitions: np.ndarray
+    words: frozenset[str] = frozenset(DICTIONARY)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x))
@@ -207,19 +228,29 @@ def _tree(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, le
     return tuple(np.array(c) for c in zip(*nodes, strict=True))
 
 
-def train(findings: list[tuple[Finding, bool]], transitions: np.ndarray, trees: int = 40, depth: int = 9, least: int = 3, seed: int = 5) -> Forest:
-    x = np.array([features(f, transitions) for f, _ in findings])
+def train(findings: list[tuple[Finding, bool]], transitions: np.ndarray, words: frozenset[str] = frozenset(DICTIONARY), trees: int = 40, depth: int = 9, least: int = 3, seed: int = 5) -> Forest:
+    x = np.array([features(f, transitions, words) for f, _ in findings])
     y = np.array([float(label) for _, label in findings])
     rng = np.random.default_rng(seed)
     grown = []
     for _ in range(trees):
         rows = rng.integers(0, len(y), len(y))
         grown.append(_tree(x[rows], y[rows], rng, depth, least, max(1, int(np.sqrt(x.shape[1])) + 1)))
-    return Forest(tuple(grown), transitions)
+    return Forest(tuple(grown), transitions, words)
+
 
+def _words(held: Counter) -> pa.RecordBatch:
+    """The words of a-z among ``held`` as rows (pair, word, n); all words together are pair -1."""
+    known = Counter()
+    for w, n in held.items():
+        w = w.strip(b".,;:!?\"'()")
+        if LETTERS[0] <= len(w) <= LETTERS[1] and w.isalpha():
+            known[w.decode()] += n
+    return pa.record_batch([pa.array([-1, *[-2] * len(known)], pa.int64()), pa.array([None, *known], pa.string()), pa.array([held.total(), *known.values()], pa.int64())], names=["pair", "word", "n"])
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CLASSES * CLASSES, np.int64)
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, held = np.zeros(CLASSES * CLASSES, np.int64), Counter()
     for batch in batches:
         for _, _, data, off in blocks(column(batch, "text")):
             c = _CLASS[data]
@@ -228,18 +259,37 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = ends[(ends > 0) & (ends < len(data))]
             total += np.bincount(code, minlength=CLASSES * CLASSES)
             np.subtract.at(total, code[np.unique(ends) - 1], 1)  # a pair of two documents
+            raw = data.tobytes().lower()
+            for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                while x < y:
+                    space = _SPACE.search(raw, x + PIECE, y) if y - x > PIECE else None
+                    end = space.start() if space else y
+                    held.update(raw[x:end].split())
+                    x = end
+                    if len(held) > HELD_WORDS:
+                        yield _words(held)
+                        held.clear()
     at = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["pair", "n"])
-
-
-def corpus_transitions(docs: DataFrame) -> np.ndarray:
-    """Log-probabilities of each class of character after each, from all texts; the driver gets CLASSES ** 2 rows at most."""
-    rows = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    n = np.ones(CLASSES * CLASSES)
-    for r in rows:
-        n[r.pair] += r.n
+    yield _words(held)
+    yield pa.record_batch([pa.array(at), pa.nulls(len(at), pa.string()), pa.array(total[at])], names=["pair", "word", "n"])
+
+
+def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, frozenset[str]]:
+    """Log-probabilities of each class of character after each, and the dictionary with the corpus's common words, both from all texts.
+
+    The driver gets CLASSES ** 2 rows and WORD_SHARE words at most."""
+    rows = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(_counts, "pair long, word string, n long")
+    counts = written(rows.groupBy("pair", "word").agg(F.sum("n").alias("n")), "counts")
+    n, total = np.ones(CLASSES * CLASSES), 0
+    for r in counts.where("pair >= -1").select("pair", "n").collect():
+        if r.pair < 0:
+            total = r.n
+        else:
+            n[r.pair] += r.n
+    common = counts.where((F.col("pair") == -2) & (F.col("n") * WORD_SHARE >= total)).select("word").collect()
+    release(counts)
     n = n.reshape(CLASSES, CLASSES)
-    return np.log(n / n.sum(1, keepdims=True))
+    return np.log(n / n.sum(1, keepdims=True)), frozenset(DICTIONARY) | {r.word for r in common}
 
 
 def _scan(batches: Iterator[pa.RecordBatch], held, least: float) -> Iterator[pa.RecordBatch]:
@@ -255,7 +305,7 @@ def _scan(batches: Iterator[pa.RecordBatch], held, least: float) -> Iterator[pa.
             x = []
             for d, a, b, kind in spots:
                 text = [raw[p:q].decode("utf-8", "ignore") for p, q in ((a, b), (max(int(off[d]), a - 40), a), (b, min(int(off[d + 1]), b + 40)))]
-                x.append(features(Finding(*text, paths[i + d] or "", kind == "assigned"), forest.transitions))
+                x.append(features(Finding(*text, paths[i + d] or "", kind == "assigned"), forest.transitions, forest.words))
             for (d, a, b, kind), s in zip(spots, forest.predict(np.array(x)).tolist(), strict=True):
                 begin = np.count_nonzero((data[off[d] : a] & 0xC0) != 0x80)
                 out.append((ids[i + d], begin, np.count_nonzero((data[a:b] & 0xC0) != 0x80), kind, hashlib.sha256(raw[a:b]).hexdigest(), s, s >= least))
@@ -266,7 +316,7 @@ def _scan(batches: Iterator[pa.RecordBatch], held, least: float) -> Iterator[pa.
 
 def scan(docs: DataFrame, path: str | None = None, findings: list[tuple[Finding, bool]] | None = None, least: float = 0.5) -> DataFrame:
     """The findings in ``docs`` (doc_id, text, and the column ``path``): SCHEMA. ``start`` and ``length`` are in characters."""
-    forest = train(findings or labelled(), corpus_transitions(docs))
+    forest = train(findings or labelled(), *corpus_counts(docs))
     held = docs.sparkSession.sparkContext.broadcast(forest)
     where = docs[path].cast("string") if path else F.lit("")
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"), where.alias("path")).mapInArrow(functools.partial(_scan, held=held, least=least), SCHEMA)
