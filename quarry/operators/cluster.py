@@ -11,11 +11,15 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.tables import cut
-from quarry.operators.neighbors import radius_join
+from quarry.operators.neighbors import in_blocks, radius_join
+
+#: Numbers that label propagation holds in memory at most, and values of one feature.
+GRID, GRID_VALUES = 1 << 22, 4096
 
 
 def _sum(xs):
@@ -276,32 +280,134 @@ def minimum_spanning_tree(edges: DataFrame, max_iter: int = 64) -> DataFrame:
     return chosen if chosen is not None else e.limit(0)
 
 
-def label_propagation(df: DataFrame, features: list[str], key: str, label: str, gamma: float = 20.0, radius: float = 1.0, max_iter: int = 100, tol: float = 1e-4, alpha: float | None = None) -> DataFrame:
-    """(key, label): labelled rows (``label`` not null) spread theirs over the RBF graph of rows within ``radius``; with ``alpha`` they may change (label spreading)."""
-    pts = df.select(F.col(key).cast("long").alias("i"), *features)
-    e = radius_join(pts, pts.withColumnRenamed("i", "j"), radius, features).where("i <> j").withColumn("w", F.exp(-gamma * F.col("distance") ** 2))
+def _spread(n: np.ndarray, f: np.ndarray, r: np.ndarray, near: np.ndarray, alpha: float | None) -> tuple[np.ndarray, float]:
+    """One round for places with ``n`` (places, states) rows, their values ``f`` (places, states, classes), scales ``r`` and sums ``near`` of all other places: new values and the squared change."""
+    classes = f.shape[2]
+    y = np.vstack([np.eye(classes), np.full((1, classes), 1 / classes)])
+    r = r[:, None, None]
+    others = np.maximum((n[:, :, None] * f).sum(1, keepdims=True) - f, 0) * r  # a row isn't its own neighbour
+    new = near[:, None] + others
     if alpha is None:
-        z = e.groupBy("i").agg(F.sum("w").alias("z"))
-        e = e.join(z, "i").select("i", "j", (F.col("w") / F.col("z")).alias("w"))
+        new[:, :classes] = y[:classes]
     else:
-        z = e.groupBy("i").agg(F.sum("w").alias("z"))
-        e = e.join(z, "i").join(z.select(F.col("i").alias("j"), F.col("z").alias("z2")), "j").select("i", "j", (F.col("w") / F.sqrt(F.col("z") * F.col("z2"))).alias("w"))
-    e = cut(e)
-    known = df.where(F.col(label).isNotNull()).select(F.col(key).cast("long").alias("i"), F.col(label).alias("l"), F.lit(1.0).alias("p"))
-    f = known
+        new = alpha * r * new + (1 - alpha) * y
+    z = new.sum(2, keepdims=True)
+    new = np.divide(new, z, out=new, where=z > 0)
+    return new, float((n * ((new - f) ** 2).sum(2)).sum())
+
+
+def _scale(degree: np.ndarray, alpha: float | None) -> np.ndarray:
+    """1 / sqrt(degree) for spreading; in propagation the sums of rows make up for it."""
+    return np.ones(len(degree)) if alpha is None else np.divide(1, np.sqrt(degree), out=np.zeros(len(degree)), where=degree > 0)
+
+
+def _spread_on_grid(x: np.ndarray, n: np.ndarray, gamma: float, max_iter: int, tol: float, alpha: float | None) -> np.ndarray:
+    """The states' classes by place. A Gaussian is the product of one kernel for each feature, so sums over all places are one small product along each axis of the grid of
+    feature values. Kernels have no diagonal: I x B0 + A0 x B, for A = I + A0, sums over the other places without a difference of large numbers."""
+    found = [np.unique(c, return_inverse=True) for c in x.T]
+    shape = tuple(len(u) for u, _ in found)
+    cell = np.ravel_multi_index([i for _, i in found], shape)
+    kernels = [np.exp(-gamma * (u[:, None] - u) ** 2) - np.eye(len(u)) for u, _ in found]
+
+    def near(v):
+        full = np.zeros((math.prod(shape), v.shape[1]))
+        full[cell] = v
+        full = full.reshape(*shape, -1)
+        out = np.zeros_like(full)
+        for axis in reversed(range(len(shape))):
+            more = np.moveaxis(np.tensordot(kernels[axis], full, (1, axis)), 0, axis)
+            out, full = out + more, full + more
+        return out.reshape(-1, v.shape[1])[cell]
+
+    classes = n.shape[1] - 1
+    rows = n.sum(1)
+    r = _scale(near(rows[:, None])[:, 0] + rows - 1, alpha)
+    f = np.tile(np.vstack([np.eye(classes), np.full((1, classes), 1 / classes)]), (len(n), 1, 1))
     for _ in range(max_iter):
-        s = e.join(f.withColumnRenamed("i", "j"), "j").groupBy("i", "l").agg(F.sum(F.col("w") * F.col("p")).alias("p"))
-        if alpha is None:
-            z = s.groupBy("i").agg(F.sum("p").alias("z"))
-            new = s.join(z, "i").select("i", "l", (F.col("p") / F.col("z")).alias("p")).join(known, "i", "left_anti").unionByName(known)
-        else:
-            new = s.withColumn("p", F.col("p") * alpha).unionByName(known.withColumn("p", F.col("p") * (1 - alpha))).groupBy("i", "l").agg(F.sum("p").alias("p"))
-        new = cut(new)
-        diff = new.join(f.withColumnRenamed("p", "q"), ["i", "l"], "full").agg(F.sqrt(F.sum((F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0))) ** 2))).first()[0]
-        f = new
-        if diff < tol:
+        f, change = _spread(n, f, r, near(r[:, None] * (n[:, :, None] * f).sum(1)), alpha)
+        if math.sqrt(change) < tol:
             break
-    return f.groupBy("i").agg(F.max(F.struct("p", "l")).alias("b")).select(F.col("i").alias(key), F.col("b.l").alias(label))
+    return f.argmax(2)
+
+
+def _spread_by_blocks(places: DataFrame, gamma: float, classes: int, max_iter: int, tol: float, alpha: float | None) -> DataFrame:
+    """``places`` (x, n arrays) with ``best``, the states' classes: each round sums kernels over all pairs of packed blocks."""
+    spark = places.sparkSession
+    parts = 2 * spark.sparkContext.defaultParallelism
+    states = classes + 1
+
+    def near(state, width):
+        def sums(i, x, j, y):
+            x_j, v, out = y[:, : x.shape[1]], y[:, x.shape[1] :], []
+            for at in range(0, len(i), 256):
+                q = x[at : at + 256]
+                w = np.exp(-gamma * sum((q[:, k, None] - x_j[:, k]) ** 2 for k in range(x.shape[1])))
+                out.append((w * (i[at : at + 256, None] != j)) @ v)
+            return [i, list(np.concatenate(out))]
+
+        s = in_blocks(state.select("i", "x").repartition(parts), state.select(F.col("i").alias("j"), F.concat("x", "v").alias("y")).repartition(parts), sums, "i long, v array<double>")
+        return s.groupBy("i").agg(F.array(*[F.sum(F.col("v")[k]) for k in range(width)]).alias("near"))
+
+    schema = "i long, x array<double>, n array<double>, r double, f array<double>, v array<double>, change double"
+
+    def rounds(first):
+        def go(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                read = lambda c, b=b: np.array(b.column(c).to_pylist(), float).reshape(b.num_rows, -1)
+                n, s = read("n"), read("near")
+                if first:
+                    r, change = _scale(s[:, 0] + n.sum(1) - 1, alpha), 0.0
+                    f = np.tile(np.vstack([np.eye(classes), np.full((1, classes), 1 / classes)]), (len(n), 1, 1))
+                else:
+                    r = read("r")[:, 0]
+                    f, change = _spread(n, read("f").reshape(-1, states, classes), r, s, alpha)
+                v = r[:, None] * (n[:, :, None] * f).sum(1)
+                yield pa.record_batch([b.column("i"), b.column("x"), b.column("n"), pa.array(r), pa.array(list(f.reshape(len(f), -1)), pa.list_(pa.float64())), pa.array(list(v), pa.list_(pa.float64())), pa.array([change] + [0.0] * (len(n) - 1))],
+                                      names=[c.split()[0] for c in schema.split(", ")])
+
+        return go
+
+    place = cut(places.withColumn("i", F.monotonically_increasing_id()))
+    rows = place.withColumn("v", F.array(F.aggregate("n", F.lit(0.0), lambda p, q: p + q)))
+    state = cut(place.join(near(rows, 1), "i").mapInArrow(rounds(True), schema))
+    for _ in range(max_iter):
+        state = cut(state.join(near(state, classes), "i").mapInArrow(rounds(False), schema))
+        if math.sqrt(state.agg(F.sum("change")).first()[0]) < tol:
+            break
+    values = [F.slice("f", 1 + s * classes, classes) for s in range(states)]
+    return state.select("x", F.array(*[(F.array_position(v, F.array_max(v)) - 1).cast("int") for v in values]).alias("best"))
+
+
+def label_propagation(df: DataFrame, features: list[str], key: str, label: str, gamma: float = 20.0, max_iter: int = 1000, tol: float = 1e-4, alpha: float | None = None) -> DataFrame:
+    """(key, label): labelled rows (``label`` not null) spread theirs over the RBF graph of all pairs of rows until the values of all rows move by less than ``tol``. Rows without a
+    label start with all classes alike, values of a row are scaled to sum 1 each round, and the first of equal classes wins. Labelled rows keep theirs; with ``alpha``
+    (label spreading) weights are scaled by both degrees, and ``1 - alpha`` of a row's start is mixed in. A row with a missing feature reaches none and keeps its own label or null.
+
+    Rows of equal features and label have equal values, so that rounds are over the different places, with counts. They run in memory where places and the grid of feature values
+    are few (``GRID``), else over pairs of blocks, quadratic in the places; both are exact."""
+    x = [f"_x{k}" for k in range(len(features))]
+    pts = df.select(F.col(key).cast("long").alias("_k"), F.col(label).alias("_l"), *[F.col(c).cast("double").alias(v) for c, v in zip(features, x, strict=True)])
+    classes = sorted(r[0] for r in pts.where("_l IS NOT NULL").select("_l").distinct().collect())  # a row for each class
+    if not classes:
+        raise ValueError("no row has a label")
+    c, kind = len(classes), pts.schema["_l"].dataType
+    known = F.array(*[F.lit(v).cast(kind) for v in classes])
+    pts = pts.withColumn("_s", F.when(F.col("_l").isNull(), c).otherwise(F.array_position(known, F.col("_l")) - 1).cast("int"))
+    whole = reduce(lambda a, b: a & b, [F.col(v).isNotNull() & ~F.isnan(v) for v in x])
+    places = cut(pts.where(whole).groupBy(*x).agg(*[F.sum((F.col("_s") == k).cast("double")).alias(f"_n{k}") for k in range(c + 1)]))
+    size, *values = places.agg(F.count("*"), *[F.count_distinct(v) for v in x]).first()
+    if size * (c + 1) * c <= GRID and math.prod(values) * c <= GRID and max(values) <= GRID_VALUES:
+        t = places.toArrow()
+        read = lambda names: np.column_stack([t.column(v).to_numpy() for v in names])
+        xs = read(x)
+        best = _spread_on_grid(xs, read([f"_n{k}" for k in range(c + 1)]), gamma, max_iter, tol, alpha) if size else np.zeros((0, c + 1), int)
+        found = df.sparkSession.createDataFrame(pa.table({**{v: xs[:, k] for k, v in enumerate(x)}, **{f"_b{k}": best[:, k].astype(np.int32) for k in range(c + 1)}})).select(*x, F.array(*[f"_b{k}" for k in range(c + 1)]).alias("best"))
+    else:
+        found = _spread_by_blocks(places.select(F.array(*x).alias("x"), F.array(*[f"_n{k}" for k in range(c + 1)]).alias("n")), gamma, c, max_iter, tol, alpha).select(*[F.col("x")[k].alias(v) for k, v in enumerate(x)], "best")
+    out = pts.join(found, x, "left")
+    return out.select(F.col("_k").alias(key), F.when(F.col("best").isNotNull(), F.get(known, F.get("best", F.col("_s")))).otherwise(F.col("_l")).alias(label))
 
 
 def mean_shift(df: DataFrame, features: list[str], bandwidth: float, seeds: list[list[float]], max_iter: int = 300, tol: float = 1e-3) -> list[list[float]]:

@@ -88,8 +88,8 @@ SELECT q.i, coalesce((SELECT label FROM z WHERE z.i = q.i), (SELECT min(label) F
     "connected_components": (lambda s, d: C.connected_components(edges(s, d)), f"WITH RECURSIVE {EDGES}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u AS node, u AS k FROM b UNION SELECT b.v, r.k FROM r JOIN b ON r.node = b.u) SELECT node, min(k) AS root FROM r GROUP BY 1"),
     "dijkstra": (lambda s, d: C.shortest_paths(edges(s, d), 0).select("node", "distance"), f"WITH RECURSIVE {EDGES}, r AS (SELECT 0 AS node, 0.0::DOUBLE AS distance, 0 AS hops UNION SELECT e.v, r.distance + e.w, hops + 1 FROM r JOIN e ON r.node = e.u WHERE hops < 30) SELECT node::BIGINT AS node, min(distance) AS distance FROM r GROUP BY 1"),
     "minimum_spanning_tree": (lambda s, d: C.minimum_spanning_tree(edges(s, d)).agg(F.count("*").alias("edges"), F.sum("w").alias("weight")), SPANNING),
-    "label_propagation": (lambda s, d: C.label_propagation(seeded(s, d), P, "i", "l", 20.0, 0.2), None),
-    "label_spreading": (lambda s, d: C.label_propagation(seeded(s, d), P, "i", "l", 20.0, 0.2, alpha=0.2), None),
+    "label_propagation": (lambda s, d: C.label_propagation(seeded(s, d), P, "i", "l", 20.0), None),
+    "label_spreading": (lambda s, d: C.label_propagation(seeded(s, d), P, "i", "l", 20.0, alpha=0.2), None),
     "feature_agglomeration": (lambda s, d: rounded(C.feature_agglomeration(data(s, d).select("a", "b", (F.col("a") * 1.01).alias("e")), ["a", "b", "e"], 2).agg(*[F.avg(c).alias(c) for c in ("fa_0", "fa_1")])), f"WITH {DATA} SELECT round(avg(a * 2.01 / 2), 6) AS fa_0, round(avg(b), 6) AS fa_1 FROM t"),
     "k_fold": (lambda s, d: S.k_fold(orders(s, d), "o_orderkey", 7), fold_sql(7)),
     "stratified_k_fold": (lambda s, d: S.stratified_k_fold(orders(s, d), "o_orderkey", "o_orderstatus", 4).groupBy("o_orderstatus", "fold").agg(F.count("*").alias("n")), """WITH c AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY o_orderstatus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT % 4 AS s FROM c)

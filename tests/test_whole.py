@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from quarry.operators import cluster as C
 from quarry.operators import neighbors as N
 
 PAIRWISE = {
@@ -27,3 +28,38 @@ def test_pairwise_has_no_limit(spark, name):
     b = spark.createDataFrame([(j, r.tolist()) for j, r in enumerate(v)], "j long, y array<double>")
     got = N.pairwise(a, b, f).toPandas().sort_values(["i", "j"])
     assert len(got) == 3 * 5003 and np.allclose(got["value"], plain(v[:3, None], v[None]).ravel())
+
+
+def propagated(x, y, gamma, alpha=None, rounds=1000, tol=1e-4):
+    """Plain loops over the full matrix; -1 has no label."""
+    w = np.exp(-gamma * ((x[:, None] - x) ** 2).sum(-1))
+    np.fill_diagonal(w, 0)
+    c = y.max() + 1
+    start = np.where((y >= 0)[:, None], np.eye(c)[np.maximum(y, 0)], 1 / c)
+    d = w.sum(1)
+    s = w / d[:, None] if alpha is None else w / np.sqrt(d[:, None] * d)
+    f = start
+    for _ in range(rounds):
+        new = s @ f if alpha is None else alpha * s @ f + (1 - alpha) * start
+        if alpha is None:
+            new[y >= 0] = start[y >= 0]
+        new /= new.sum(1, keepdims=True)
+        last, f = f, new
+        if np.sqrt(((f - last) ** 2).sum()) < tol:
+            break
+    return f.argmax(1)
+
+
+@pytest.mark.parametrize(("alpha", "grid", "rounds"), [(None, 1 << 22, 1000), (0.2, 1 << 22, 1000), (0.9, 1 << 22, 1000), (None, 0, 2), (0.2, 0, 2)])
+def test_labels_spread_over_all_pairs(spark, monkeypatch, alpha, grid, rounds):
+    """Copies, labelled and unlabelled rows at one place, places beyond any short radius, and a missing feature; in memory and by blocks."""
+    monkeypatch.setattr(C, "GRID", grid)
+    g = np.random.default_rng(1)
+    x = np.round(g.normal(size=(60, 2)) * [1, 0.6], 1)
+    x = np.concatenate([x, x[:25], [[6.0, 6.0]]])
+    y = np.where(g.random(len(x)) < 0.3, (x[:, 0] > 0).astype(int) + (x[:, 1] > 0.5), -1)
+    y[-1] = -1
+    df = spark.createDataFrame([(i, float(a), float(b), None if c < 0 else int(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))] + [(1000, None, 1.0, None), (1001, 1.0, float("nan"), 2)], "i long, a double, b double, l int")
+    got = dict(C.label_propagation(df, ["a", "b"], "i", "l", 2.0, rounds, alpha=alpha).collect())
+    assert got.pop(1000) is None and got.pop(1001) == 2
+    assert [got[i] for i in range(len(x))] == propagated(x, y, 2.0, alpha, rounds).tolist()
