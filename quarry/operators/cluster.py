@@ -434,7 +434,12 @@ def agglomerate(points: np.ndarray, n_clusters: int, linkage: str = "ward", most
     n = len(points)
     if n > most:
         raise ValueError(f"at most {most} rows")
-    d = ((points[:, None] - points[None]) ** 2).sum(-1)
+    return merged(((points[:, None] - points[None]) ** 2).sum(-1), n_clusters, linkage)
+
+
+def merged(d: np.ndarray, n_clusters: int, linkage: str = "ward") -> np.ndarray:
+    """Labels from squared distances."""
+    n, d = len(d), d.astype(float)
     np.fill_diagonal(d, np.inf)
     size, group = np.ones(n), np.arange(n)
     for _ in range(n - n_clusters):
@@ -451,13 +456,44 @@ def agglomerate(points: np.ndarray, n_clusters: int, linkage: str = "ward", most
     return np.unique(group, return_inverse=True)[1]
 
 
-def feature_agglomeration(df: DataFrame, features: list[str], n_clusters: int, linkage: str = "ward", pooling: str = "mean") -> DataFrame:
-    """Columns fa_0 ...: features are clustered by the distances of their columns (from products alone) and pooled."""
-    from quarry.operators.linear import gram
+def column_distances(df: DataFrame, features: list[str]) -> np.ndarray:
+    """Squared distances of columns, summed from differences (products lose small ones); rows with a null are left out."""
+    from quarry.operators.linear import EXPRESSIONS
+
+    d = len(features)
+    x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]).where(reduce(lambda a, b: a & b, [F.col(f"x{i}").isNotNull() for i in range(d)]))
+    at = [(i, j) for i in range(d) for j in range(i + 1, d)]
+
+    def partial(batches):
+        total, n = np.zeros((d, d)), 0
+        for b in batches:
+            v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            total += [((v - v[:, i : i + 1]) ** 2).sum(0) for i in range(d)]
+            n += len(v)
+        if n:
+            yield pa.record_batch([pa.array(range(d * d), pa.int32()), pa.array(total.ravel()), pa.array([n] * (d * d), pa.int64())], names=["i", "v", "n"])
+
+    out = np.zeros((d, d))
+    if d <= EXPRESSIONS:
+        n, *sums = x.agg(F.count("*"), *[F.sum((F.col(f"x{i}") - F.col(f"x{j}")) ** 2) for i, j in at]).first()
+        if n:
+            for (i, j), v in zip(at, sums, strict=True):
+                out[i, j] = out[j, i] = v
+    else:
+        rows = x.mapInArrow(partial, "i int, v double, n long").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()  # d ** 2 rows
+        n = rows[0].n if rows else 0
+        for r in rows:
+            out[divmod(r.i, d)] = r.v
+    if not n:
+        raise ValueError("no complete rows")
+    return out
+
 
-    g = gram(df, features, []).m[1:, 1:]
-    root = np.linalg.cholesky(g + 1e-12 * np.trace(g) * np.eye(len(g)))  # its rows have the columns' distances
-    label = agglomerate(root, n_clusters, linkage)
+def feature_agglomeration(df: DataFrame, features: list[str], n_clusters: int, linkage: str = "ward", pooling: str = "mean") -> DataFrame:
+    """Columns fa_0 ...: features are clustered by the distances of their columns and pooled."""
+    if len(features) > 2000:
+        raise ValueError("at most 2000 features")
+    label = merged(column_distances(df, features), n_clusters, linkage)
     out = {}
     for k in range(n_clusters):
         cols = [F.col(c) for c, v in zip(features, label, strict=True) if v == k]

@@ -63,3 +63,15 @@ def test_labels_spread_over_all_pairs(spark, monkeypatch, alpha, grid, rounds):
     got = dict(C.label_propagation(df, ["a", "b"], "i", "l", 2.0, rounds, alpha=alpha).collect())
     assert got.pop(1000) is None and got.pop(1001) == 2
     assert [got[i] for i in range(len(x))] == propagated(x, y, 2.0, alpha, rounds).tolist()
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_features_of_one_direction_merge(spark, monkeypatch, wide):
+    """Two columns are multiples of each other, and rounding of long sums makes their matrix of products indefinite."""
+    from quarry.operators import linear as L
+
+    if wide:
+        monkeypatch.setattr(L, "EXPRESSIONS", 2)
+    df = spark.range(0, 60_000, 1, 1).selectExpr("IF(id = 0, 1e8D, 1D) AS a", "IF(id = 0, 1e8D, 1D) * 1.01D AS b", "CAST(id AS double) AS e")
+    got = C.feature_agglomeration(df, ["a", "e", "b"], 2).where("e = 7").first()
+    assert (got.fa_0, got.fa_1) == ((1 + 1.01) / 2, 7.0)
