@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.stats import present
+from quarry.functions.stats import order_statistics, present
 from quarry.operators import linear as L
 
 
@@ -98,8 +98,11 @@ def local_linear(queries: DataFrame, train: DataFrame, bandwidth: float, most: i
 
 def conformal(df: DataFrame, y: str, p: str, level: float = 0.9) -> tuple[Column, Column]:
     """(lower, upper) around a prediction: the quantile of absolute residuals of a calibration set."""
-    n = df.count()
-    q = df.agg(F.percentile(F.abs(F.col(y) - F.col(p)), F.lit(float(min(1.0, np.ceil((n + 1) * level) / n))))).first()[0]
+    e = F.nanvl(F.abs(F.col(y) - F.col(p)).cast("double"), F.lit(float("inf")))
+    n, m = df.agg(F.count("*"), F.count(e)).first()
+    at = (m - 1) * float(min(1.0, np.ceil((n + 1) * level) / n))
+    low, high = order_statistics(df, e, [int(np.floor(at)), int(np.ceil(at))])
+    q = low + (at - np.floor(at)) * (high - low)
     return F.col(p) - q, F.col(p) + q
 
 

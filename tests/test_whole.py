@@ -3,7 +3,11 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from quarry.functions import stats
 from quarry.operators import cluster as C
+from quarry.operators import kernel_models as K
 from quarry.operators import neighbors as N
 
 PAIRWISE = {
@@ -75,3 +79,21 @@ def test_features_of_one_direction_merge(spark, monkeypatch, wide):
     df = spark.range(0, 60_000, 1, 1).selectExpr("IF(id = 0, 1e8D, 1D) AS a", "IF(id = 0, 1e8D, 1D) * 1.01D AS b", "CAST(id AS double) AS e")
     got = C.feature_agglomeration(df, ["a", "e", "b"], 2).where("e = 7").first()
     assert (got.fa_0, got.fa_1) == ((1 + 1.01) / 2, 7.0)
+
+
+def test_order_statistics(spark):
+    """Many ties, few huge values, both signs; narrowed to 50 rows."""
+    g = np.random.default_rng(0)
+    v = np.concatenate([g.normal(size=3000), np.repeat([0.25, -0.5, 0.0], 700), 10.0 ** g.uniform(-300, 300, 200), [-np.inf, np.inf]])
+    df = spark.createDataFrame([(float(a),) for a in v], "v double").union(spark.createDataFrame([(None,)], "v double")).repartition(3)
+    ranks = [0, 1, 17, 1500, 2600, 2601, 3999, len(v) - 2, len(v) - 1]
+    assert stats.order_statistics(df, F.col("v"), ranks, 50) == np.sort(v)[ranks].tolist()
+
+
+def test_conformal_without_one_buffer_of_all_values(spark, monkeypatch):
+    """The quantile isn't an aggregate over all distinct values."""
+    monkeypatch.setattr(K.F, "percentile", None)
+    v = np.random.default_rng(2).normal(size=500)
+    low, high = K.conformal(df := spark.createDataFrame([(float(a), 0.0) for a in v], "y double, p double"), "y", "p", 0.9)
+    want = np.quantile(np.abs(v), np.ceil(501 * 0.9) / 500)
+    assert abs(df.select(high).first()[0] - want) < 1e-12 and abs(df.select(low).first()[0] + want) < 1e-12
