@@ -189,19 +189,22 @@ def gaussian_mixture(df: DataFrame, features: list[str], start: list[list[float]
 
 def dbscan(df: DataFrame, features: list[str], key: str, eps: float, min_samples: int = 5) -> DataFrame:
     """(key, label): clusters of core points within ``eps`` of each other, numbered by their smallest key; border points go to the lowest-numbered cluster that reaches them, noise is -1.
-    Neighbourhoods are a grid join in few dimensions; components are found by label joins."""
+    Rows of equal features are one place, counted and named by its smallest key, so that copies make no pairs. Neighbourhoods of places are a grid join in few dimensions;
+    components are found by label joins."""
     pts = df.select(F.col(key).cast("long").alias("i"), *features)
-    near = radius_join(pts, pts.withColumnRenamed("i", "j"), eps, features).select("i", "j")
-    near = cut(near)
-    core = near.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("i")
-    links = near.join(core, "i", "left_semi").join(core.withColumnRenamed("i", "j"), "j", "left_semi")
+    places = cut(pts.groupBy(*features).agg(F.min("i").alias("i"), F.count("*").alias("n")))
+    near = cut(radius_join(places.select("i", *features), places.select(F.col("i").alias("j"), *features), eps, features).select("i", "j"))
+    rows = places.select(F.col("i").alias("j"), "n")
+    core = cut(near.join(rows, "j").groupBy("i").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("i"))
+    links = near.where("i < j").join(core, "i", "left_semi").join(core.withColumnRenamed("i", "j"), "j", "left_semi")
     comp = connected_components(links.select(F.col("i").alias("u"), F.col("j").alias("v")), core.select(F.col("i").alias("node")))
     number = comp.select("root").distinct().select("root", (F.dense_rank().over(Window.orderBy("root")) - 1).alias("label"))
     core_label = comp.join(number, "root").select(F.col("node").alias("j"), "label")
     reach = near.join(core_label, "j").groupBy("i").agg(F.min("label").alias("label"))
     own = core_label.withColumnRenamed("j", "i")
     lab = reach.join(own.withColumnRenamed("label", "own"), "i", "left").select("i", F.coalesce("own", "label").alias("label"))
-    return pts.select("i").join(lab, "i", "left").select(F.col("i").alias(key), F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
+    lab = places.drop("n").join(lab, "i").drop("i")
+    return pts.join(lab, features, "left").select(F.col("i").alias(key), F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
 
 
 # --- graphs -------------------------------------------------------------------

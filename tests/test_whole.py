@@ -97,3 +97,23 @@ def test_conformal_without_one_buffer_of_all_values(spark, monkeypatch):
     low, high = K.conformal(df := spark.createDataFrame([(float(a), 0.0) for a in v], "y double, p double"), "y", "p", 0.9)
     want = np.quantile(np.abs(v), np.ceil(501 * 0.9) / 500)
     assert abs(df.select(high).first()[0] - want) < 1e-12 and abs(df.select(low).first()[0] + want) < 1e-12
+
+
+def test_dbscan_makes_no_pairs_of_copies(spark, monkeypatch):
+    """Copies count towards cores; the join sees each place once. Noise, a border point of two clusters, and a missing feature."""
+    seen = []
+    join = C.radius_join
+    monkeypatch.setattr(C, "radius_join", lambda a, b, *r: (seen.append((a.count(), b.count())), join(a, b, *r))[1])
+    x = [0.0] * 40 + [1.0] * 3 + [2.0] * 3 + [3.0] + [4.0] * 4 + [9.0] + [20.0] * 4
+    df = spark.createDataFrame([(100 - i, a, 0.5) for i, a in enumerate(x)] + [(500, None, 0.5)], "i long, a double, b double")
+    got = dict(C.dbscan(df, ["a", "b"], "i", 1.0, 4).collect())
+    assert seen == [(8, 8)]
+    v = np.array(x)
+    near = np.abs(v[:, None] - v) <= 1
+    core = near.sum(1) >= 4
+    root = np.where(core, [100 - i for i in range(len(v))], 10**6)
+    for _ in v:
+        root = np.where(core, np.where(near & core, root, 10**6).min(1), 10**6)
+    number = {r: k for k, r in enumerate(sorted(set(root[core])))}
+    want = [number[root[i]] if core[i] else min([number[r] for r in root[near[i] & core]], default=-1) for i in range(len(v))]
+    assert [got[100 - i] for i in range(len(v))] == want and got[500] == -1 and len(got) == len(v) + 1
