@@ -9,10 +9,14 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.stats import running, safe_div
+from quarry.functions.tables import cut
+from quarry.operators.neighbors import in_blocks
 
 # --- regression ---------------------------------------------------------------
 
@@ -385,16 +389,31 @@ def davies_bouldin(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return r.agg(F.avg("r").alias("davies_bouldin_score"))
 
 
-def silhouette(df: DataFrame, features: list[str], label: str, key: str, most: int = 20_000) -> DataFrame:
-    """(key, silhouette): exact, by distances to the points of every cluster. Quadratic, so the number of rows has a limit; noise gets 0,
-    a cluster of one a = 0."""
-    n = df.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"exact silhouettes compare all pairs; more than {most} rows")
+def silhouette(df: DataFrame, features: list[str], label: str, key: str) -> DataFrame:
+    """(key, silhouette): exact, by distances to the points of every cluster; noise gets 0, as a row with a missing feature, which counts for no other; a cluster of one has a = 0.
+    All pairs are compared, in packed blocks that give each row its sum of distances by cluster, so the work is quadratic, but nothing else is."""
+    spark = df.sparkSession
+    parts = 2 * spark.sparkContext.defaultParallelism
     x = df.select(F.col(key).alias("k"), F.col(label).alias("l"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    y = F.broadcast(x.where("l <> -1").select(F.col("k").alias("k2"), F.col("l").alias("l2"), F.col("x").alias("y")))
-    d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
-    p = x.where("l <> -1").join(y, F.col("k") != F.col("k2")).groupBy("k", "l", "l2").agg(F.avg(d).alias("d"))
-    s = p.groupBy("k").agg(F.coalesce(F.max(F.when(F.col("l") == F.col("l2"), F.col("d"))), F.lit(0.0)).alias("a"), F.min(F.when(F.col("l") != F.col("l2"), F.col("d"))).alias("b"))
+    whole = x.where((F.col("l") != -1) & ~F.exists("x", lambda v: v.isNull()))
+    sizes = [r for r in whole.groupBy("l").count().collect()]  # a row for each cluster
+    number = spark.createDataFrame([(r[0], float(c)) for c, r in enumerate(sizes)], T.StructType([T.StructField("l", whole.schema["l"].dataType), T.StructField("c", T.DoubleType())]))
+    count = spark.createDataFrame([(c, r[1]) for c, r in enumerate(sizes)], "c2 int, n long")
+    pts = cut(whole.join(number, "l").select("k", F.col("c").cast("int").alias("c"), F.concat(F.array("c"), "x").alias("x"), F.monotonically_increasing_id().alias("i")))
+
+    def sums(i, x, j, y):
+        y = y[np.argsort(y[:, 0], kind="stable")]
+        found, start = np.unique(y[:, 0], return_index=True)
+        out = np.empty((len(i), len(found)))
+        for at in range(0, len(i), 256):
+            q = x[at : at + 256]
+            out[at : at + 256] = np.add.reduceat(np.sqrt(sum((q[:, f, None] - y[:, f]) ** 2 for f in range(1, x.shape[1]))), start, axis=1)
+        return [np.repeat(i, len(found)), np.tile(found.astype(np.int32), len(i)), out.ravel()]
+
+    s = in_blocks(pts.select("i", "x").repartition(parts), pts.select(F.col("i").alias("j"), F.col("x").alias("y")).repartitionByRange(parts, "y"), sums, "i long, c2 int, d double")
+    s = s.groupBy("i", "c2").agg(F.sum("d").alias("d")).join(pts.select("i", "k", "c"), "i").join(F.broadcast(count), "c2")
+    own = F.col("c") == F.col("c2")
+    p = s.select("i", "k", own.alias("own"), F.when(~own, F.col("d") / F.col("n")).when(F.col("n") > 1, F.col("d") / (F.col("n") - 1)).alias("d"))
+    s = p.groupBy("i", "k").agg(F.coalesce(F.max(F.when(F.col("own"), F.col("d"))), F.lit(0.0)).alias("a"), F.min(F.when(~F.col("own"), F.col("d"))).alias("b"))
     s = s.select("k", safe_div(F.col("b") - F.col("a"), F.greatest("a", "b")).alias("silhouette"))
     return x.select("k").join(s, "k", "left").select(F.col("k").alias(key), F.coalesce("silhouette", F.lit(0.0)).alias("silhouette"))

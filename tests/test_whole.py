@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import stats
 from quarry.operators import cluster as C
 from quarry.operators import kernel_models as K
+from quarry.operators import metrics as M
 from quarry.operators import neighbors as N
 
 PAIRWISE = {
@@ -117,3 +118,19 @@ def test_dbscan_makes_no_pairs_of_copies(spark, monkeypatch):
     number = {r: k for k, r in enumerate(sorted(set(root[core])))}
     want = [number[root[i]] if core[i] else min([number[r] for r in root[near[i] & core]], default=-1) for i in range(len(v))]
     assert [got[100 - i] for i in range(len(v))] == want and got[500] == -1 and len(got) == len(v) + 1
+
+
+def test_silhouettes_of_more_rows_than_the_former_limit(spark):
+    """Over 20,000 rows in two columns, clusters of three sizes, one of a single row, noise and a missing feature; some rows against plain sums."""
+    g = np.random.default_rng(3)
+    n = 20_050
+    v, c = g.normal(size=(n, 2)).round(3), g.choice([0, 1, 2], n, p=[0.6, 0.3, 0.1])
+    c[5], c[6] = 7, -1
+    df = spark.createDataFrame([(f"k{i}", float(a), float(b), int(z)) for i, ((a, b), z) in enumerate(zip(v, c, strict=True))] + [("none", None, 1.0, 0)], "k string, a double, b double, l int")
+    got = dict(M.silhouette(df, ["a", "b"], "l", "k").collect())
+    assert len(got) == n + 1 and got["none"] == got["k6"] == 0
+    for i in (0, 1, 2, 5, n - 1):
+        d = np.sqrt(((v - v[i]) ** 2).sum(1))
+        a = d[c == c[i]].sum() / max((c == c[i]).sum() - 1, 1)
+        b = min(d[c == z].mean() for z in {0, 1, 2, 7} - {c[i]})
+        assert abs(got[f"k{i}"] - (b - a) / max(a, b)) < 1e-9
